@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 from skeinflow.functions.text import WHITESPACE
+from skeinflow.llm.canonical import p3_claims, p3_found
 from skeinflow.llm.conversations import p4_found
 from skeinflow.llm.groups import p5_found, p5_groups
+from skeinflow.llm.mixing import p8_mixture, p8_shares
+from skeinflow.llm.packing import p7_containers, p7_report
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_claims": p3_claims,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
+    "p7_containers": p7_containers,
+    "p7_report": p7_report,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+}
 
 _TRIM = f"trim(%s, '{WHITESPACE}')"
 _OWNER = "(SELECT self_user_id FROM pipeline_config WHERE enabled AND section = 'conversation_segmentation' ORDER BY config_id LIMIT 1)"
