@@ -8,6 +8,7 @@ from skeinflow.llm.conversations import p4_found
 from skeinflow.llm.groups import p5_found, p5_groups
 from skeinflow.llm.mixing import p8_mixture, p8_shares
 from skeinflow.llm.packing import p7_containers, p7_report
+from skeinflow.llm.toxicity import p9_found, p9_rates, p9_scores
 
 QUERIES = {
     "p3_found": p3_found,
@@ -19,6 +20,9 @@ QUERIES = {
     "p7_report": p7_report,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 _TRIM = f"trim(%s, '{WHITESPACE}')"
