@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,31 @@ def session(app: str = "skeinflow", cores: str = "*", **conf: str) -> SparkSessi
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):
+        return  # already running from an archive
+    archive = os.path.join(tempfile.mkdtemp(prefix="skeinflow-"), "skeinflow.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +73,7 @@ class Scratch:
     files; ``drop`` deletes one that no later step reads."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
+        ship(spark)
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
