@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ MAX_LABELS = 20_000
 #: Passages: runs of words without sentence punctuation; longer ones in windows of WIDTH words, STRIDE apart.
 WIDTH, STRIDE = 8, 4
 #: Labelled passages nearer than this cosine vote, with weight cosine ** POWER.
-NEAR, POWER = 0.45, 4
+NEAR, POWER = 0.5, 4
 #: Weight of the base rate in a vote, and the largest inverse document frequency (so that names don't outweigh all else).
 SMOOTH, MAX_IDF = 0.7, 4.6
 #: Words in fewer labelled documents are no terms of the index.
@@ -29,7 +29,7 @@ MIN_TERMS = 2
 #: A document with a passage of at least this score counts as abusive.
 THRESHOLD = 0.5
 #: A labelled passage whose own vote is at least this is an offending example.
-OFFENDING = 0.3
+OFFENDING = 0.5
 BLOCK = 64
 
 # Letters of other scripts that look like Latin ones, and digits and signs typed for letters.
@@ -45,13 +45,14 @@ def _fold_table() -> dict[int, str | None]:
         if base != chr(code):
             out[code] = base.lower()
     out |= {ord(k): v for k, v in _LOOKALIKE.items()}
-    out |= {0xDF: "ss"} | dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF], None) | dict.fromkeys(range(0x300, 0x370), None)
+    out |= {0xDF: "ss"} | dict.fromkeys(range(0x300, 0x370), None)
     return out
 
 
 _FOLD = _fold_table()
+_INVISIBLE = "\u200b\u00ad\u200c\u200d\u2060\ufeff"
 #: A word, letters with a blank or dot between any two of them, or the end of a sentence.
-_PIECES = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-]{1,2}[^\W\d_](?!\w)){2,}|[\w@$*]+|[.!?;:…\n\r]")
+_PIECES = re.compile(r"[\w@$*]{2,}|[^\W\d_](?:[ .\-]{1,2}[^\W\d_](?!\w)){2,}|[\w@$*]|[.!?;:…\n\r]")
 _RUN = re.compile(r"(.)\1+")
 _ENDS = frozenset(".!?;:…\n\r")
 
@@ -59,15 +60,19 @@ _ENDS = frozenset(".!?;:…\n\r")
 def pieces(text: str) -> list[str]:
     text = text.lower()
     if not text.isascii():
-        text = text.translate(_FOLD)
-        if not text.isascii():
-            text = unicodedata.normalize("NFKC", text).lower()
+        for c in _INVISIBLE:
+            if c in text:
+                text = text.replace(c, "")
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
     return _PIECES.findall(text)
 
 
 def term(piece: str) -> str:
     """The form under which a piece is looked up: letters typed otherwise restored, runs of a letter made one, numbers ``#``."""
-    if len(piece) > 2 and not piece[1].isalnum() and not piece[1] in "@$*_":
+    if not piece.isascii():
+        piece = unicodedata.normalize("NFKC", piece).lower().translate(_FOLD)
+    if len(piece) > 2 and not piece[1].isalnum() and piece[1] not in "@$*_":
         piece = re.sub(r"[\W_]", "", piece)
     if piece.isdigit():
         return "#"
@@ -115,10 +120,6 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, last
 
 
-def bag(ids: np.ndarray) -> tuple[int, ...]:
-    return tuple(sorted(ids[ids >= 0].tolist()))
-
-
 class Examples:
     """Distinct labelled passages with their label counts, in two exact cosine indexes.
 
@@ -146,10 +147,8 @@ class Examples:
         self.at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
         self.top = np.zeros(len(idf))
         np.maximum.at(self.top, flat, impact)
-        self.bags = bags
-        self.rows = None
 
-    def votes(self, ids: tuple[int, ...]) -> tuple[float, int]:
+    def votes(self, ids: Sequence[int]) -> tuple[float, int]:
         """The score of a bag of terms and its nearest example that has an abusive label, or -1."""
         terms, tf = np.unique(np.asarray(ids), return_counts=True)
         weight = tf * self.idf[terms]
@@ -186,17 +185,17 @@ class Examples:
         bad = self.abusive[near] > 0
         return value, int(near[bad][np.argmax(score[bad])]) if bad.any() else -1
 
-    def set_offending(self, offending: np.ndarray) -> None:
+    def set_offending(self, offending: np.ndarray, bags: list[tuple[int, ...]]) -> None:
         """Lay out the offending examples in blocks, similar ones (by their rarest terms) together."""
-        rare = lambda e: sorted(self.bags[e], key=lambda t: (-self.idf[t], t))[:3]
+        rare = lambda e: sorted(bags[e], key=lambda t: (-self.idf[t], t))[:3]
         chosen = sorted(offending.tolist(), key=rare)
-        used = sorted({t for e in chosen for t in self.bags[e]})
+        used = sorted({t for e in chosen for t in bags[e]})
         self.rows = np.zeros(len(self.idf) + 1, np.int32)
         self.rows[used] = np.arange(1, len(used) + 1)
         blocks = max(1, -(-len(chosen) // BLOCK))
         cells = np.zeros((len(used) + 1, blocks * BLOCK), np.float32)
         for k, e in enumerate(chosen):
-            terms, tf = np.unique(np.asarray(self.bags[e]), return_counts=True)
+            terms, tf = np.unique(np.asarray(bags[e]), return_counts=True)
             w = tf * self.idf[terms]
             cells[self.rows[terms], k] = w / np.sqrt((w**2).sum())
         self.cells = cells.reshape(len(used) + 1, blocks, BLOCK)
@@ -253,46 +252,50 @@ def _label_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(words, pa.string()), pa.array(docs, pa.int64()), pa.array(labels, pa.int32())], names=["words", "doc_id", "toxic"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS):
-    """A broadcast ``(vocabulary, Examples)`` from the labelled documents, or None without any.
+def _encode(documents: DataFrame, vocabulary, keep: list) -> DataFrame:
+    """``doc_id``, the columns ``keep`` and the text as term numbers (two bytes each, plus 2)."""
+    out = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in keep)
 
-    Labels are of whole documents, so a passage inherits its document's. Harmless passages of
-    abusive documents are outvoted by their like in clean ones. Examples come from at most
-    ``max_labels`` documents; document frequencies are counted over all documents. Null labels and
-    labels of unknown documents count nothing; of several labels of one document the largest counts.
-    """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "toxicity")
-    chosen = (
-        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    )
-    labelled = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
-    passages = scratch.save(labelled.mapInArrow(_label_bags, "words string, doc_id bigint, toxic int").distinct())
-    totals = passages.select("doc_id", "toxic").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()[0]
-    if not totals["n"] or not totals["bad"]:
-        return None
-    in_labelled = passages.select("doc_id", F.explode(F.split("words", " ")).alias("term")).where("term <> ''").groupBy("term").agg(F.countDistinct("doc_id").alias("n"))
-    least = MIN_LABELLED if totals["n"] >= 2000 else 2
-    words = [r["term"] for r in in_labelled.where(F.col("n") >= least).orderBy(F.desc("n"), "term").collect()]
-    vocabulary = {w: i for i, w in enumerate(words)}
-    shared = spark.sparkContext.broadcast(vocabulary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(vocabulary.value)
+        for b in batches:
+            codes = [(np.array(terms.of(t), np.int64) + 2).astype(np.uint16).tobytes() if t else b"" for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.record_batch([*b.columns[:-1], pa.array(codes, pa.binary())], names=["doc_id", *[f.name for f in keep], "codes"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[f.name for f in keep], "text").mapInArrow(run, f"doc_id bigint{out}, codes binary")
+
+
+def _codes(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(c, np.uint16).astype(np.int64) - 2 for c in column.to_pylist()]
 
-    def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value)
-        seen, n = np.zeros(len(shared.value) + 2, np.int64), 0
+
+def _frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and how many documents there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(n_terms + 2, np.int64), 0
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for ids in _codes(b.column(0)):
                 n += 1
-                if text:
-                    seen[np.unique(np.array(terms.of(text), np.int64))] += 1
-        ids = np.append(np.flatnonzero(seen[:-2]), -1)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.append(seen[ids[:-1]], n), pa.int64())], names=["id", "n"])
-
-    counted = documents.select("text").mapInArrow(count_documents, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = {r["id"]: r["n"] for r in counted}
-    all_docs = counts.pop(-1, 0)
-    df = np.array([counts.get(i, 0) for i in range(len(words))], np.float64)
-    idf = np.minimum(MAX_IDF, np.log((all_docs + 1) / (df + 1)) + 0.3)
+                seen[np.unique(ids)] += 1
+        ids = np.flatnonzero(seen[:-2])
+        yield pa.record_batch([pa.array(np.append(ids, -1), pa.int64()), pa.array(np.append(seen[ids], n), pa.int64())], names=["id", "n"])
+
+    counts = {r["id"]: r["n"] for r in encoded.select("codes").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    return np.array([counts.get(i, 0) for i in range(n_terms)], np.float64), counts.get(-1, 0)
+
+
+def _passages(documents: DataFrame, labels: DataFrame, max_labels: int, scratch: Scratch) -> DataFrame:
+    """``words, doc_id, toxic``: the distinct passages of the labelled documents that are used."""
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
+    labelled = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
+    return scratch.save(labelled.mapInArrow(_label_bags, "words string, doc_id bigint, toxic int").distinct())
+
+
+def _examples(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, base: float) -> Examples:
+    """The index of the labelled passages; those that their own neighbours call abusive are the offending ones."""
+    spark = passages.sparkSession
     merged: dict[tuple[int, ...], list[int]] = {}
     grouped = passages.groupBy("words").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("bad"), F.min(F.when(F.col("toxic") > 0, F.col("doc_id"))).alias("doc"))
     for r in grouped.collect():
@@ -304,81 +307,100 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS):
             if r["doc"] is not None and (now[2] < 0 or r["doc"] < now[2]):
                 now[2] = r["doc"]
     keys = sorted(merged)
-    examples = Examples(keys, [merged[k][0] for k in keys], [merged[k][1] for k in keys], [merged[k][2] for k in keys], idf, totals["bad"] / totals["n"])
-    bad = np.flatnonzero(examples.abusive > 0)
-    first = spark.sparkContext.broadcast(examples)
+    examples = Examples(keys, [merged[k][0] for k in keys], [merged[k][1] for k in keys], [merged[k][2] for k in keys], idf, base)
+    shared = spark.sparkContext.broadcast(examples)
 
     def self_vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = first.value
         for b in batches:
-            ids = b.column(0).to_pylist()
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([e.votes(e.bags[i])[0] for i in ids], pa.float64())], names=["e", "v"])
+            votes = [shared.value.votes(tuple(t))[0] for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(votes, pa.float64())], names=["e", "v"])
 
-    # The examples are a bounded sample, so their numbers and votes are, too.
-    listed = spark.createDataFrame([(int(i),) for i in bad], "e bigint").repartition(max(1, spark.sparkContext.defaultParallelism))
-    voted = listed.mapInArrow(self_vote, "e bigint, v double").where(F.col("v") >= OFFENDING).orderBy("e").collect()
-    examples.set_offending(np.array([r["e"] for r in voted], np.int64))
-    return spark.sparkContext.broadcast((vocabulary, examples))
+    bad = [(int(i), list(keys[i])) for i in np.flatnonzero(examples.abusive > 0)]
+    listed = spark.createDataFrame(bad, "e bigint, terms array<int>").repartition(max(1, spark.sparkContext.defaultParallelism), "e")
+    voted = listed.mapInArrow(self_vote, "e bigint, v double").where(F.col("v") >= OFFENDING).collect()
+    shared.destroy()
+    examples.set_offending(np.array(sorted(r["e"] for r in voted), np.int64), keys)
+    return examples
 
 
-def score(documents: DataFrame, model, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), max_labels: int = MAX_LABELS) -> DataFrame:
     """``doc_id``, the columns ``keep``, ``score``, ``passage`` and ``example_doc_id`` for every document.
 
-    The score is the largest of the document's passages: the cosine-weighted share of abusive
-    labels among the labelled passages nearer than ``NEAR``, 0 where none of these is an offending
-    example. ``passage`` is that passage's terms, ``example_doc_id`` the labelled document of its
-    nearest abusive example: the evidence. Null, empty and blank texts score 0. Whole texts are read.
+    Labels are of whole documents, so a passage inherits its document's. Harmless passages of
+    abusive documents are outvoted by their like in clean ones; only passages whose own
+    neighbours call them abusive become offending examples. Examples come from at most
+    ``max_labels`` documents; document frequencies are counted over all documents.
+
+    A document's score is the largest of its passages': the cosine-weighted share of abusive labels
+    among the labelled passages nearer than ``NEAR``, 0 where none of these is an offending example.
+    ``passage`` is that passage's terms, ``example_doc_id`` the labelled document of its nearest
+    abusive example: the evidence. Whole texts are read, once: the term numbers go to the shared
+    folder for the counts and the scores.
+
+    Null, empty and blank texts score 0, and so does everything without labels of both kinds. Null
+    labels and labels of unknown documents count nothing; of several labels of one document the
+    largest counts.
     """
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "toxicity")
     extra = [f for f in documents.schema if f.name in keep]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)
-    schema = f"doc_id bigint{', ' + out if out else ''}, score double, passage string, example_doc_id bigint"
+    passages = _passages(documents, labels, max_labels, scratch)
+    totals = passages.select("doc_id", "toxic").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()[0]
+    if not totals["bad"]:
+        zero = [F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("passage"), F.lit(None).cast("long").alias("example_doc_id")]
+        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[f.name for f in extra], *zero)
+    least = MIN_LABELLED if totals["n"] >= 2000 else 2
+    in_labelled = passages.select("doc_id", F.explode(F.split("words", " ")).alias("term")).where("term <> ''").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # Two bytes number the terms; a sample of max_labels documents has far fewer.
+    words = [r["term"] for r in in_labelled.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(65_000).collect()]
+    vocabulary = {w: i for i, w in enumerate(words)}
+    encoded = scratch.save(_encode(documents, spark.sparkContext.broadcast(vocabulary), extra))
+    found, all_docs = _frequencies(encoded, len(words))
+    idf = np.minimum(MAX_IDF, np.log((all_docs + 1) / (found + 1)) + 0.3)
+    model = spark.sparkContext.broadcast((words, _examples(passages, vocabulary, idf, totals["bad"] / totals["n"])))
+    out = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, examples, names, cache = None, None, [], {}
-        if model is not None:
-            vocabulary, examples = model.value
-            terms, names = Terms(vocabulary), list(vocabulary)
+        names, examples = model.value
+        cache: dict[bytes, tuple[float, int]] = {}
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = _codes(b.column(b.num_columns - 1))
             value, passage, source = np.zeros(len(texts)), [None] * len(texts), [None] * len(texts)
             at = 0
-            while terms is not None and at < len(texts):
-                flat, owner_ends, chars, start = [], [], 0, at
-                while at < len(texts) and chars < 400_000:
-                    if texts[at]:
-                        flat += terms.of(texts[at])
-                        chars += len(texts[at])
-                    flat.append(-2)
-                    owner_ends.append(len(flat))
+            while at < len(texts):
+                start, size, held = at, 0, []
+                while at < len(texts) and size < 200_000:
+                    held += [texts[at], np.array([-2])]
+                    size += len(texts[at]) + 1
                     at += 1
-                ids = np.array(flat, np.int64)
+                ids = np.concatenate(held)
+                doc_end = np.cumsum([len(t) + 1 for t in texts[start:at]])
                 first, last = windows(ids)
                 if not len(first):
                     continue
                 for k in examples.gate(ids, first, last).tolist():
-                    key = bag(ids[first[k] : last[k]])
-                    if len(set(key)) < MIN_TERMS:
-                        continue
-                    got = cache.get(key)
+                    part = ids[first[k] : last[k]]
+                    key = np.sort(part[part >= 0])
+                    name = key.tobytes()
+                    got = cache.get(name)
                     if got is None:
                         if len(cache) > 200_000:
                             cache.clear()
-                        got = cache[key] = examples.votes(key)
-                    doc = start + int(np.searchsorted(owner_ends, first[k], side="right"))
+                        got = cache[name] = examples.votes(key)
+                    doc = start + int(np.searchsorted(doc_end, first[k], side="right"))
                     if got[0] > value[doc]:
-                        value[doc], passage[doc] = got[0], " ".join(names[i] for i in ids[first[k] : last[k]] if i >= 0)
+                        value[doc], passage[doc] = got[0], " ".join(names[i] for i in part.tolist() if i >= 0)
                         source[doc] = int(examples.docs[got[1]]) if got[1] >= 0 else None
             yield pa.record_batch(
                 [*b.columns[:-1], pa.array(np.round(value, 6)), pa.array(passage, pa.string()), pa.array(source, pa.int64())],
                 names=["doc_id", *[f.name for f in extra], "score", "passage", "example_doc_id"],
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[f.name for f in extra], "text").mapInArrow(run, schema)
+    return encoded.mapInArrow(run, f"doc_id bigint{out}, score double, passage string, example_doc_id bigint")
 
 
 def _scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return score(documents, fit(documents, table(spark, sf_dir, "review_labels")), keep)
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), keep)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
