@@ -214,3 +214,199 @@ def deletions(root: str) -> set[str]:
         layer = {w[:i] + w[i + 1 :] for w in layer for i in range(len(w))}
         out |= layer
     return out
+
+
+#: Log-likelihood that a spelling near another one is a name of its own.
+ALONE = -9.0
+
+
+def attribute(x: dict, options: list[dict]) -> tuple[str | None, float]:
+    """The key of the canonical form that most probably was meant by form ``x``, and its posterior.
+
+    ``x`` and ``options`` have ``key, root, context, full, freq, records``. A full form (one context)
+    competes with being a name of its own; every one of its records would have to be the same typo.
+    It is only attached to a more frequent form of the same context. Returns the form's own key where
+    that is likelier, None where no option is sure enough.
+    """
+    scored = []
+    for y in options:
+        d = edits(x["root"], y["root"]) if x["root"] != y["root"] else 0
+        if d > min(allowed(len(x["root"])), allowed(len(y["root"]))):
+            continue
+        if x["full"] is not None:
+            if (d == 0 and " " not in x["root"]) or (x["full"] == "") != (y["full"] == "") or (y["freq"], y["key"]) < (x["freq"], x["key"]):
+                continue
+        value = fits(x["context"], y["full"]) if x["full"] != "" else 0.0
+        if value is not None:
+            scored.append((max(x["records"], 1) * EDIT * d + value + math.log(y["freq"]), y["key"]))
+    own = ALONE + math.log(max(x["freq"], 1)) if x["full"] is not None else ALONE - 3
+    if not scored:
+        return x["key"], 1.0
+    best, key = max(scored)
+    if own >= best:
+        return x["key"], 1.0
+    share = 1 / (sum(math.exp(v - best) for v, _ in scored) + math.exp(own - best))
+    if share >= SURE:
+        return key, share
+    return (x["key"] if x["full"] is not None else None), share
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``record, kind, name``: canonical names (``s``) and aliases (``a``) of the curated table, candidates (``c``)."""
+    seeds = table(spark, sf_dir, "entity_seed").where(F.col("entity_id").isNotNull()).select("entity_id", "canonical_name", "aliases").distinct()
+    candidates = table(spark, sf_dir, "entity_candidates").where(F.col("candidate_id").isNotNull()).select("candidate_id", "candidate_name").distinct()
+    return (
+        seeds.select(F.col("entity_id").alias("record"), F.lit("s").alias("kind"), F.col("canonical_name").alias("name"))
+        .unionByName(seeds.select(F.col("entity_id").alias("record"), F.lit("a").alias("kind"), F.explode("aliases").alias("name")))
+        .unionByName(candidates.select(F.col("candidate_id").alias("record"), F.lit("c").alias("kind"), F.col("candidate_name").alias("name")))
+        .where(F.col("name").isNotNull())
+        .distinct()
+    )
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([*b.columns[:-1], pa.array([list(parse(n).words) for n in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.string()))], names=[*b.schema.names[:-1], "words"])
+
+
+def learn_context(names: DataFrame, scratch: Scratch) -> Context:
+    """Context words and their variants, counted over the whole curated table.
+
+    At most 1 / ``CONTEXT_SHARE`` words for each word of a name can have the share that makes a
+    context word, so the dictionary is small however large the table; learned variants are those seen
+    at least twice, for these words.
+    """
+    words = scratch.save(names.where("kind <> 'c'").select("record", "kind", "name").mapInArrow(_parsed, "record string, kind string, words array<string>"))
+    main = words.where("kind = 's'")
+    n = main.select("record").distinct().count()
+    least = max(LEAST, CONTEXT_SHARE * n) if n >= 1000 else 3
+    counted = main.select("record", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    context = {r["word"]: r["n"] for r in counted.collect()}
+    if not context:
+        return Context({}, {})
+    known = F.array(*[F.lit(w) for w in sorted(context)])
+    owner = main.select("record", F.array_intersect("words", known).alias("kinds"), F.array_except("words", known).alias("root")).where("size(root) = 1 AND size(kinds) > 0")
+    alias = words.where("kind = 'a'").select("record", F.col("words").alias("alias"))
+    pairs = owner.join(alias, "record").where(F.array_contains("alias", F.col("root")[0]))
+    pairs = pairs.select(F.array_except(F.array_except("alias", "root"), "kinds").alias("extra"), F.array_except("kinds", "alias").alias("missing")).where("size(extra) = 1 AND size(missing) > 0")
+    learned: dict[str, dict[str, int]] = {}
+    for r in pairs.select(F.col("extra")[0].alias("a"), F.explode("missing").alias("w")).groupBy("a", "w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").collect():
+        if r["a"] not in context:
+            learned.setdefault(r["a"], {})[r["w"]] = r["n"]
+    return Context(context, learned)
+
+
+def _near_roots(roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """``root, other``: different roots that may be spellings of each other: they share a deletion."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: list[str] = []
+            keys: list[str] = []
+            for root in b.column(0).to_pylist():
+                found = deletions(root)
+                held += [root] * len(found)
+                keys += found
+                if len(keys) > 200_000:
+                    yield pa.record_batch([pa.array(held), pa.array(keys)], names=["root", "part"])
+                    held, keys = [], []
+            yield pa.record_batch([pa.array(held, pa.string()), pa.array(keys, pa.string())], names=["root", "part"])
+
+    parts = roots.mapInArrow(expand, "root string, part string").select("root", F.xxhash64("part").alias("part"))
+    # A part belongs to a few roots; those of one root alone are most of them and fall away here.
+    shared = scratch.save(parts.groupBy("part").agg(F.collect_set("root").alias("held")).where("size(held) > 1").select("held").distinct())
+    each = shared.select(F.explode("held").alias("root"), "held")
+    return each.select("root", F.explode("held").alias("other")).where("root <> other").distinct()
+
+
+def linked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``record, group_key``: records whose names are spellings of one name have one group key.
+
+    Names are reduced to forms: a root (family or place name) and what their context words (given
+    name, kind of organisation) may mean, by a dictionary learned from all aliases: frequent words
+    are context words; what stands in their place in aliases of the same root are nicknames and
+    abbreviations. The frequent forms are the candidates for what was meant. Each form goes to the
+    candidate of the largest posterior: its frequency times the likelihood of the edits between the
+    roots, of the nickname, initial or omission. Roots meet through shared deletions, never through
+    all pairs. A form that could mean several names about equally goes to none.
+
+    An alias of one curated entity alone belongs to it whatever it looks like (an epithet, say); one
+    that several entities share says nothing. Missing names, placeholders and names of nothing but
+    context words have no row. Extra columns are ignored; empty tables give no rows.
+    """
+    scratch = Scratch(spark, "names")
+    names = scratch.save(_entities(spark, sf_dir))
+    channel = spark.sparkContext.broadcast(learn_context(names, scratch))
+
+    def to_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [form(n, channel.value) for n in b.column(2).to_pylist()]
+            cols = [pa.array([None if f is None else getattr(f, c) for f in found], pa.string()) for c in ("root", "context", "full")]
+            yield pa.record_batch([b.column(0), b.column(1), *cols], names=["record", "kind", "root", "context", "full"])
+
+    used = scratch.save(
+        names.select("record", "kind", "name").mapInArrow(to_forms, "record string, kind string, root string, context string, full string").where("root IS NOT NULL").withColumn("key", F.concat_ws("#", "root", "context")).distinct()
+    )
+    forms = scratch.save(
+        used.groupBy("key").agg(
+            F.first("root").alias("root"),
+            F.first("context").alias("context"),
+            F.first("full").alias("full"),
+            F.sum(F.when(F.col("kind") == "s", CURATED).when(F.col("kind") == "c", 1).otherwise(0)).cast("long").alias("freq"),
+            F.sum((F.col("kind") != "a").cast("long")).alias("records"),
+        )
+    )
+    canonical = forms.where("full IS NOT NULL AND freq > 0")
+    roots = forms.select("root").distinct()
+    near = scratch.save(_near_roots(roots, scratch).unionByName(roots.select("root", F.col("root").alias("other"))))
+    described = F.struct("key", "root", "context", "full", "freq", "records")
+    # A root has at most as many canonical forms as there are contexts: the list is short.
+    by_root = canonical.groupBy(F.col("root").alias("other")).agg(F.collect_list(described).alias("found"))
+    options = near.join(by_root, "other").groupBy("root").agg(F.flatten(F.collect_list("found")).alias("options"))
+    asked = forms.join(options, "root", "left").select(described.alias("x"), "options")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, targets = [], []
+            for x, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys.append(x["key"])
+                targets.append(attribute(x, [y for y in found or [] if y["key"] != x["key"]])[0])
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(targets, pa.string())], names=["key", "target"])
+
+    chosen = scratch.save(asked.mapInArrow(choose, "key string, target string"))
+    main = used.where("kind = 's'").select("record", F.col("key").alias("main"))
+    # An alias whose entities are all one name links its form; main forms are compared by their targets.
+    owners = used.where("kind = 'a'").select("record", "key").join(main, "record").join(chosen.select(F.col("key").alias("main"), "target"), "main")
+    owned = owners.groupBy("key").agg(F.min(F.coalesce("target", "main")).alias("low"), F.max(F.coalesce("target", "main")).alias("high"), F.min("main").alias("main"))
+    shared = scratch.save(owned.where("low <> high").select("key"))
+    own = owned.where("low = high").select("key", F.col("main").alias("target"))
+    plain = forms.join(shared, "key", "left_semi").where("full IS NULL OR full = ''").select("key")
+    # What several entities are called is no name of one: such forms link nothing (full names still do).
+    doubtful = scratch.save(chosen.where("target IS NULL").select("key").join(own, "key", "left_anti").unionByName(plain).distinct())
+    edges = chosen.where("target IS NOT NULL AND target <> key").unionByName(own.where("key <> target")).join(doubtful, "key", "left_anti")
+    groups = seed_tree_components(edges, "key", "target").select(F.col("vertex").alias("key"), "component")
+    holders = used.where("kind <> 'a'").select("record", "key").join(doubtful, "key", "left_anti")
+    return holders.join(groups, "key", "left").select("record", F.coalesce("component", "key").alias("group_key"))
+
+
+def pairs_within(records: DataFrame, block: int = 1000) -> DataFrame:
+    """Every pair of different ``record`` values with the same ``group_key``, the smaller one first.
+
+    A group of more than ``block`` records is cut into blocks by hash, and its pairs of blocks are
+    tasks of their own, so that no task holds all pairs of a large group.
+    """
+    sizes = records.groupBy("group_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    held = records.distinct().join(sizes.select("group_key", "blocks"), "group_key").withColumn("mine", F.pmod(F.hash("record"), "blocks"))
+    left = held.select("group_key", F.col("record").alias("record_a"), "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("theirs"))
+    right = held.select("group_key", F.col("record").alias("record_b"), F.col("mine").alias("theirs"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))
+    return left.join(right, ["group_key", "mine", "theirs"]).where("record_a < record_b").select("record_a", "record_b").distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_within(Scratch(spark, "linked").save(linked_records(spark, sf_dir)))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with a usable name, with the smallest record of its group and the group's size."""
+    linked = Scratch(spark, "linked").save(linked_records(spark, sf_dir))
+    return linked.join(linked.groupBy("group_key").agg(F.min("record").alias("group_record"), F.count(F.lit(1)).alias("size")), "group_key").select("group_record", "record", "size")

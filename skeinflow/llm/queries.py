@@ -7,6 +7,7 @@ from skeinflow.llm.canonical import p3_claims, p3_found
 from skeinflow.llm.conversations import p4_found
 from skeinflow.llm.groups import p5_found, p5_groups
 from skeinflow.llm.mixing import p8_mixture, p8_shares
+from skeinflow.llm.names import p6_found, p6_groups
 from skeinflow.llm.packing import p7_containers, p7_report
 from skeinflow.llm.toxicity import p9_found, p9_rates, p9_scores
 
@@ -16,6 +17,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_containers": p7_containers,
     "p7_report": p7_report,
     "p8_mixture": p8_mixture,
