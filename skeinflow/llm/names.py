@@ -296,6 +296,10 @@ def learn_context(names: DataFrame, scratch: Scratch) -> Context:
     return Context(context, learned)
 
 
+def spark_parallelism(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def _near_roots(roots: DataFrame, scratch: Scratch) -> DataFrame:
     """``root, other``: different roots that may be spellings of each other: they share a deletion."""
 
@@ -312,6 +316,8 @@ def _near_roots(roots: DataFrame, scratch: Scratch) -> DataFrame:
                     held, keys = [], []
             yield pa.record_batch([pa.array(held, pa.string()), pa.array(keys, pa.string())], names=["root", "part"])
 
+    # Each root becomes dozens of rows, so small inputs are spread over all cores first.
+    roots = roots.repartition(max(spark_parallelism(roots), roots.count() // 20_000), "root")
     parts = roots.mapInArrow(expand, "root string, part string").select("root", F.xxhash64("part").alias("part"))
     # A part belongs to a few roots; those of one root alone are most of them and fall away here.
     shared = scratch.save(parts.groupBy("part").agg(F.collect_set("root").alias("held")).where("size(held) > 1").select("held").distinct())
@@ -357,7 +363,7 @@ def linked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     canonical = forms.where("full IS NOT NULL AND freq > 0")
-    roots = forms.select("root").distinct()
+    roots = scratch.save(forms.select("root").distinct())
     near = scratch.save(_near_roots(roots, scratch).unionByName(roots.select("root", F.col("root").alias("other"))))
     described = F.struct("key", "root", "context", "full", "freq", "records")
     # A root has at most as many canonical forms as there are contexts: the list is short.

@@ -28,8 +28,8 @@ MIN_LABELLED = 3
 MIN_TERMS = 2
 #: A document with a passage of at least this score counts as abusive.
 THRESHOLD = 0.5
-#: A labelled passage whose own vote is at least this is an offending example.
-OFFENDING = 0.5
+#: A passage of an abusive document is an offending example if the vote of the other documents is at least this.
+OFFENDING = 0.35
 BLOCK = 64
 
 # Letters of other scripts that look like Latin ones, and digits and signs typed for letters.
@@ -124,8 +124,8 @@ class Examples:
     """Distinct labelled passages with their label counts, in two exact cosine indexes.
 
     ``votes`` looks a passage up among all examples: inverted lists with the largest impact of
-    each term; lists whose terms together can't reach ``NEAR`` aren't opened, only probed for the
-    examples found in the others. ``gate`` tells which windows have an offending example nearer
+    each term; the longest lists, as long as their terms together can't reach ``NEAR``, aren't
+    opened; the examples that the others leave in reach of ``NEAR`` are scored in full. ``gate`` tells which windows have an offending example nearer
     than ``NEAR``: examples lie in blocks of ``BLOCK`` (similar ones together), each term has its
     largest impact for each block, and only blocks whose sum of those reaches ``NEAR`` are scored.
     Both leave out nothing that counts.
@@ -142,45 +142,57 @@ class Examples:
         weight = tf * idf[flat]
         norm = np.sqrt(np.bincount(entry, weight**2, len(bags)))
         impact = weight / np.maximum(norm[entry], 1e-12)
-        order = np.lexsort((entry, flat))
-        self.entry, self.impact = entry[order].astype(np.int32), impact[order].astype(np.float32)
+        # By example: the terms of example e are term[start[e] : start[e + 1]].
+        self.term, self.impact = flat.astype(np.int32), impact.astype(np.float32)
+        self.start = np.searchsorted(entry, np.arange(len(bags) + 1))
+        # By term: the examples with term t are entry[at[t] : at[t + 1]].
+        order = np.argsort(flat, kind="stable")
+        self.entry, self.posted = entry[order].astype(np.int32), self.impact[order]
         self.at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
         self.top = np.zeros(len(idf))
         np.maximum.at(self.top, flat, impact)
+        self.sums = None  # space for the sums of one look-up, made where it is used
 
-    def votes(self, ids: Sequence[int]) -> tuple[float, int]:
-        """The score of a bag of terms and its nearest example that has an abusive label, or -1."""
+    def votes(self, ids: Sequence[int], own: float = 0.0) -> tuple[float, int]:
+        """The score of a bag of terms and its nearest example that has an abusive label, or -1.
+
+        ``own`` is the abusive weight that comes from the bag's own document and is left out.
+        """
         terms, tf = np.unique(np.asarray(ids), return_counts=True)
         weight = tf * self.idf[terms]
         weight = weight / (np.sqrt((weight**2).sum()) or 1)
-        reach = weight * self.top[terms]
-        order = np.argsort(-reach)
-        tail = np.cumsum(reach[order][::-1])[::-1]
-        opened = [i for i, rest in zip(order.tolist(), tail.tolist()) if rest >= NEAR - 1e-6]
-        if not opened:
+        reach, long = weight * self.top[terms], self.at[terms + 1] - self.at[terms]
+        # The longest lists stay closed as long as their terms can't reach NEAR together.
+        order = np.argsort(-long, kind="stable")
+        opened = order[np.cumsum(reach[order]) >= NEAR - 1e-6]
+        if not len(opened):
             return 0.0, -1
-        spans = [(self.at[terms[i]], self.at[terms[i] + 1], weight[i]) for i in opened]
-        found = np.concatenate([self.entry[a:b] for a, b, _ in spans])
-        part = np.concatenate([self.impact[a:b] * w for a, b, w in spans])
-        near, where = np.unique(found, return_inverse=True)
-        score = np.bincount(where, part)
-        left = float(tail[len(opened)]) if len(opened) < len(order) else 0.0
-        keep = score >= NEAR - left - 1e-6
-        near, score = near[keep], score[keep]
-        for i in order[len(opened) :].tolist():
+        rest = NEAR - 1e-5 - (float(reach.sum()) - float(reach[opened].sum()))
+        if self.sums is None:
+            self.sums = np.zeros(len(self.clean), np.float32)
+        sums, lists = self.sums, []
+        for i in opened.tolist():
             a, b = self.at[terms[i]], self.at[terms[i] + 1]
-            if a == b or not len(near):
-                continue
-            p = np.searchsorted(self.entry[a:b], near)
-            p[p == b - a] = 0
-            hit = self.entry[a:b][p] == near
-            score = score + np.where(hit, self.impact[a:b][p] * weight[i], 0)
+            lists.append(self.entry[a:b])
+            sums[lists[-1]] += self.posted[a:b] * weight[i]
+        found = np.concatenate([e[sums[e] >= rest] for e in lists])
+        for e in lists:
+            sums[e] = 0
+        if not len(found):
+            return 0.0, -1
+        found = np.unique(found)
+        query = np.zeros(len(self.idf), np.float32)
+        query[terms] = weight
+        start, size = self.start[found], self.start[found + 1] - self.start[found]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) + np.repeat(start - first, size)
+        score = np.add.reduceat(query[self.term[place]] * self.impact[place], first)
         keep = score >= NEAR
-        near, score = near[keep], score[keep]
+        near, score = found[keep], score[keep].astype(np.float64)
         if not len(near):
             return 0.0, -1
         w = score**POWER
-        pos, neg = float(w @ self.abusive[near]), float(w @ self.clean[near])
+        pos, neg = max(float(w @ self.abusive[near]) - own, 0.0), float(w @ self.clean[near])
         value = (pos + SMOOTH * self.base) / (pos + neg + SMOOTH)
         bad = self.abusive[near] > 0
         return value, int(near[bad][np.argmax(score[bad])]) if bad.any() else -1
@@ -312,7 +324,7 @@ def _examples(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray,
 
     def self_vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            votes = [shared.value.votes(tuple(t))[0] for t in b.column(1).to_pylist()]
+            votes = [shared.value.votes(t, own=1.0)[0] for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(votes, pa.float64())], names=["e", "v"])
 
     bad = [(int(i), list(keys[i])) for i in np.flatnonzero(examples.abusive > 0)]
@@ -381,6 +393,8 @@ def score(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), m
                 for k in examples.gate(ids, first, last).tolist():
                     part = ids[first[k] : last[k]]
                     key = np.sort(part[part >= 0])
+                    if key[0] == key[-1]:
+                        continue
                     name = key.tobytes()
                     got = cache.get(name)
                     if got is None:
