@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skeinflow.runtime import Scratch, table
 
 #: At most this many labelled documents (those of lowest hash) are used as examples.
-MAX_LABELS = 20_000
+MAX_LABELS = 5_000
 #: Passages: runs of words without sentence punctuation; longer ones in windows of WIDTH words, STRIDE apart.
 WIDTH, STRIDE = 8, 4
 #: Labelled passages nearer than this cosine vote, with weight cosine ** POWER.
