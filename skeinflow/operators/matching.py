@@ -25,11 +25,12 @@ def mentions(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: st
     if not lengths:
         return texts.select(F.col(doc), F.lit(None).cast("string").alias(entity), F.lit(0).cast("long").alias("mentions")).where(F.lit(False))
     words = F.split(name_key(F.col(text)), " ")
-    spans = [
-        F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - (n - 1)), lambda i, n=n: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ]
-    cut = texts.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), words.alias("_words")).select("_doc", F.explode(F.concat(*spans)).alias("_name"))
+
+    def spans(n: int) -> Column:
+        """All sequences of ``n`` words; those cut off at the end of the text are left out by the caller."""
+        return F.transform("_words", lambda w, i: F.concat_ws(" ", w, *[F.get("_words", i + k) for k in range(1, n)]))
+
+    cut = texts.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), words.alias("_words")).select("_doc", F.explode(F.concat(*[F.slice(spans(n), 1, F.greatest(F.lit(0), F.size("_words") - (n - 1))) for n in lengths])).alias("_name"))
     counted = cut.groupBy("_doc", "_name").agg(F.count(F.lit(1)).alias("_n"))
     return counted.join(keyed, "_name").groupBy("_doc", "_entity").agg(F.sum("_n").alias("mentions")).select(F.col("_doc").alias(doc), F.col("_entity").alias(entity), "mentions")
 
