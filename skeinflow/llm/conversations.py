@@ -13,10 +13,11 @@ from skeinflow.plans.messages import MESSAGES, config_in_force
 from skeinflow.runtime import Scratch, table
 
 
-def reply_paths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+def reply_paths(nodes: DataFrame, node: str, parent: str, unique: bool = False) -> DataFrame:
     """Resolve parent pointers by pointer jumping.
 
-    Returns ``node, root, depth, state`` for each row of ``nodes`` (``node`` unique and not null):
+    Returns ``node, root, depth, state`` for each distinct ``node``; null nodes have no row, and of
+    several parents of one node the smallest counts (``unique`` says that there are none of either):
     ``state`` is ``ok`` for nodes that reach a root (a node with null parent, depth 0), ``orphan``
     for nodes whose chain ends in a parent that isn't there, and ``cycle`` for nodes whose chain
     ends in a cycle; ``root`` and ``depth`` are null for the latter two. An empty table gives no rows.
@@ -29,7 +30,10 @@ def reply_paths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "paths")
-    base = scratch.save(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")))
+    base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+    if not unique:
+        base = base.where("node IS NOT NULL").groupBy("node").agg(F.min("parent").alias("parent"))
+    base = scratch.save(base)
     here = base.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
     # A root points at itself; a node whose parent isn't there points nowhere.
     state = lookup_join(base, here, "parent", "left").select(
@@ -148,7 +152,7 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     chained = scratch.save(chained)
-    paths = reply_paths(chained, "node", "parent").where("state = 'ok'").select("node", "depth")
+    paths = reply_paths(chained, "node", "parent", unique=True).where("state = 'ok'").select("node", "depth")
     return chained.join(paths, "node").select("conversation_id", (F.col("depth") + 1).alias("turn_no"), "message_id", "role")
 
 

@@ -77,10 +77,11 @@ def mixture(sized: DataFrame, targets: dict[str, tuple[float, int]], seed: int =
     in the Poisson mean, so each source's mean, first solved from its target rate, is then tuned
     until the tokens really drawn meet the target: ``passes`` aggregations over ids and sizes try
     ``grid`` means for every source at once. Sources without target, with a null source or of no
-    share are left out, as are documents of no tokens; sources without documents can't contribute. Copies are shuffled by a
+    share are left out, as are documents of no tokens; a repeated ``doc_id`` counts once; sources without documents can't contribute. Copies are shuffled by a
     hash of document and copy. Nothing is collected but a few numbers for each target source.
     """
     sized = sized.where("tokens > 0 AND doc_id IS NOT NULL").where(F.col("source").isin(list(targets)))
+    sized = Scratch(sized.sparkSession, "mixture").save(sized.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens")))
     sizes = {r["source"]: int(r["t"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     total, rates = plan_rates(sizes, targets, total)
     u = _uniform(seed, "doc_id")

@@ -116,8 +116,8 @@ def pack(sized: DataFrame, specs: list[tuple[str, int]], cell_items: int = 20_00
 
     Returns ``container_kind, container_id, doc_id, part_no, token_start, tokens``. A document
     that alone exceeds the capacity is cut into full containers and a rest; the rest and all other
-    documents are items that stay whole. Documents of no tokens need no place and have no row;
-    ``doc_id`` must be unique.
+    documents are items that stay whole. Documents of no tokens, or with a null id or size, need no
+    place and have no row; a repeated ``doc_id`` counts once. Other columns are ignored.
 
     Items are spread by hash over cells of about ``cell_items`` items (so no source or size makes a
     cell hot), and each cell is packed by best-fit decreasing and certified by a lower bound from
@@ -131,9 +131,10 @@ def pack(sized: DataFrame, specs: list[tuple[str, int]], cell_items: int = 20_00
     if not specs or len({k for k, _ in specs}) < len(specs) or any(c < 1 for _, c in specs):
         raise ValueError("container kinds must be distinct and have a capacity of at least 1")
     dims = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("capacity")) for k, c in specs])
+    sized = sized.where("doc_id IS NOT NULL AND tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
     n_docs = sized.count()
     cells = max(1, round(n_docs / cell_items))
-    each = sized.where("tokens > 0").withColumn("s", F.explode(dims)).select(F.col("s.kind").alias("kind"), F.col("s.capacity").alias("capacity"), "doc_id", "tokens")
+    each = sized.withColumn("s", F.explode(dims)).select(F.col("s.kind").alias("kind"), F.col("s.capacity").alias("capacity"), "doc_id", "tokens")
     parts = F.expr("CAST(tokens div capacity AS BIGINT)")
     full = (
         each.where("tokens >= capacity")
