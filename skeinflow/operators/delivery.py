@@ -6,6 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _hashable(field: T.StructField) -> Column:
+    """A column that can be hashed: types that hold maps as JSON."""
+    return F.to_json(_quoted(field.name)) if "map<" in field.dataType.simpleString() else _quoted(field.name)
 
 
 def first_delivery(rows: DataFrame, identity: dict[str, Column], delivered: Column, ties: Sequence[Column]) -> DataFrame:
@@ -30,7 +40,7 @@ def first_delivery(rows: DataFrame, identity: dict[str, Column], delivered: Colu
         delivered.isNull().alias("late"),
         delivered.alias("at"),
         *[t.alias(f"t{i}") for i, t in enumerate(ties)],
-        F.xxhash64(*[F.col(c) for c in rows.columns]).alias("h"),
+        F.xxhash64(*[_hashable(f) for f in rows.schema.fields]).alias("h"),
     )
     if not payload:
         kept = rows.where(complete).groupBy(*[e.alias(k) for k, e in identity.items()]).agg(F.count(F.lit(1)).alias("copies"))
@@ -39,8 +49,8 @@ def first_delivery(rows: DataFrame, identity: dict[str, Column], delivered: Colu
     best = (
         rows.where(complete)
         .groupBy(*[e.alias(k) for k, e in identity.items()])
-        .agg(F.min_by(F.struct(*payload), rank).alias("_row"), F.count(F.lit(1)).alias("copies"))
-        .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload], "copies")
+        .agg(F.min_by(F.struct(*[_quoted(c) for c in payload]), rank).alias("_row"), F.count(F.lit(1)).alias("copies"))
+        .select(*keys, *[F.col("_row").getField(c).alias(c) for c in payload], "copies")
     )
-    unknown = rows.where(~complete).select(*[e.alias(k) for k, e in identity.items()], *payload, F.lit(1).cast("long").alias("copies"))
+    unknown = rows.where(~complete).select(*[e.alias(k) for k, e in identity.items()], *[_quoted(c) for c in payload], F.lit(1).cast("long").alias("copies"))
     return best.unionByName(unknown)
