@@ -2,13 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions.columns import name_key
 from skeinflow.operators.skew import lookup_join
+from skeinflow.runtime import ship
+
+
+def _slot(text: str, mask: int) -> int:
+    return zlib.crc32(text.encode()) & mask
+
+
+def name_filter(names: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray, int, list[int]]:
+    """Two bit sets, of hashes of all names and of their first words; their mask; and the numbers of words that names have.
+
+    Each task sets the bits of its names, and the sets are united: their size is chosen from the
+    number of names, at most 2 ** 27 bits (16 MB), whatever the names are. Beyond some ten million
+    names they let more through, which the join that follows sorts out.
+    """
+    bits = min(27, max(16, (16 * names.count() + 1).bit_length()))
+    mask = (1 << bits) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, heads, sizes = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool), set()
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                words = n.split(" ")
+                whole[_slot(n, mask)] = heads[_slot(words[0], mask)] = True
+                sizes.add(len(words))
+        yield pa.record_batch([pa.array([np.packbits(whole).tobytes()], pa.binary()), pa.array([np.packbits(heads).tobytes()], pa.binary()), pa.array([sorted(sizes)], pa.list_(pa.int32()))], names=["whole", "heads", "sizes"])
+
+    found = [np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)]
+    sizes: set[int] = set()
+    for r in names.select(name).coalesce(16).mapInArrow(run, "whole binary, heads binary, sizes array<int>").toLocalIterator():
+        found[0] |= np.frombuffer(r["whole"], np.uint8)
+        found[1] |= np.frombuffer(r["heads"], np.uint8)
+        sizes |= set(r["sizes"])
+    return found[0], found[1], mask, sorted(sizes)
 
 
 def mentions(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: str, name: str) -> DataFrame:
@@ -16,22 +53,44 @@ def mentions(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: st
 
     Texts and names are compared in key form (lower case a-z, 0-9). Instead of testing every name
     against every text, texts are cut into the word sequences of the lengths that names have, which
-    meet the names in an equi-join; repeats in one text are counted first, so a word that is everywhere
-    costs one row for each text. Null or empty names and texts give no rows. A name of several
-    entities counts for each.
+    meet the names in an equi-join. A bit set of the names' hashes keeps back sequences that can't be
+    one before anything is shuffled, and repeats in a text are counted first. Null or empty names and
+    texts give no rows. A name of several entities counts for each.
     """
+    spark = texts.sparkSession
+    ship(spark)
     keyed = names.select(F.col(entity).alias("_entity"), name_key(F.col(name)).alias("_name")).where("_name <> ''").distinct()
-    lengths = [r[0] for r in keyed.select(F.size(F.split("_name", " ")).alias("n")).distinct().orderBy("n").collect()]
-    if not lengths:
-        return texts.select(F.col(doc), F.lit(None).cast("string").alias(entity), F.lit(0).cast("long").alias("mentions")).where(F.lit(False))
-    words = F.split(name_key(F.col(text)), " ")
-
-    def spans(n: int) -> Column:
-        """All sequences of ``n`` words; those cut off at the end of the text are left out by the caller."""
-        return F.transform("_words", lambda w, i: F.concat_ws(" ", w, *[F.get("_words", i + k) for k in range(1, n)]))
-
-    cut = texts.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), words.alias("_words")).select("_doc", F.explode(F.concat(*[F.slice(spans(n), 1, F.greatest(F.lit(0), F.size("_words") - (n - 1))) for n in lengths])).alias("_name"))
-    counted = cut.groupBy("_doc", "_name").agg(F.count(F.lit(1)).alias("_n"))
+    shared = spark.sparkContext.broadcast(name_filter(keyed.select("_name").distinct(), "_name"))
+    kind = texts.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, packed_heads, mask, sizes = shared.value
+        whole, heads = np.unpackbits(packed).tobytes(), np.unpackbits(packed_heads).tobytes()
+        known: dict[str, bool] = {}
+        for b in batches:
+            rows, found, counts = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                words = re.findall("[a-z0-9]+", t.lower()) if t else []
+                here: dict[str, int] = {}
+                for at, w in enumerate(words):
+                    head = known.get(w)
+                    if head is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        head = known[w] = bool(heads[_slot(w, mask)])
+                    if head:
+                        for n in sizes:
+                            if at + n > len(words):
+                                break
+                            key = " ".join(words[at : at + n])
+                            if whole[_slot(key, mask)]:
+                                here[key] = here.get(key, 0) + 1
+                rows += [i] * len(here)
+                found += here
+                counts += here.values()
+            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=["_doc", "_name", "_n"])
+
+    counted = texts.select(F.col(doc).alias("_doc"), text).mapInArrow(run, f"_doc {kind}, _name string, _n bigint")
     return counted.join(keyed, "_name").groupBy("_doc", "_entity").agg(F.sum("_n").alias("mentions")).select(F.col("_doc").alias(doc), F.col("_entity").alias(entity), "mentions")
 
 
