@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.operators.ranking import top_per_key
+
 
 def keyword_hits(text: Column, words: Sequence[str]) -> Column:
     """How many different ``words`` the lower-cased text contains; 0 for null."""
@@ -65,17 +67,21 @@ def validated(rows: DataFrame, rules: Mapping[str, Column], group: str, order: S
     """``status`` (accepted or rejected) and ``reason`` for each row.
 
     Rules come first, in order. Of the rows that pass, a repeated headline in the group is a
-    duplicate, and rows beyond ``cap`` in the group are over the cap: nothing is lost, rejects stay as rows.
+    duplicate, and rows beyond ``cap`` in the group are over the cap: nothing is lost, rejects stay as
+    rows. ``order`` must be unique.
     """
     broken = None
     for name, bad in rules.items():
         bad = F.coalesce(bad, F.lit(True))
         broken = F.when(bad, F.lit(name)) if broken is None else broken.when(bad, F.lit(name))
-    marked = rows.withColumn("_broken", broken).withColumn("_headline", headline)
-    passing = F.col("_broken").isNull()
-    same = Window.partitionBy(group, "_headline", passing).orderBy(*order)
-    marked = marked.withColumn("_copy", F.row_number().over(same))
-    unique = passing & (F.col("_copy") == 1)
-    marked = marked.withColumn("_place", F.sum(unique.cast("int")).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    reason = F.coalesce(F.col("_broken"), F.when(F.col("_copy") > 1, F.lit("duplicate")), F.when(F.col("_place") > cap, F.lit("over_cap")))
-    return marked.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))).drop("_broken", "_headline", "_copy", "_place")
+    own = F.struct(*order)
+    marked = rows.withColumn("_broken", broken).withColumn("_headline", headline).withColumn("_order", own)
+    # Nothing here holds a group in one task: the first of each headline is a minimum, and the
+    # first ``cap`` of a group are a group limit.
+    passing = marked.where("_broken IS NULL")
+    first = passing.groupBy(group, "_headline").agg(F.min("_order").alias("_order"))
+    kept = top_per_key(first, [group], [F.col("_order")], cap, "_place")
+    state = first.join(kept.select("_order", F.lit(True).alias("_kept")), "_order", "left").select("_order", F.coalesce("_kept", F.lit(False)).alias("_kept"))
+    out = marked.join(state, "_order", "left")
+    reason = F.coalesce(F.col("_broken"), F.when(F.col("_kept").isNull(), F.lit("duplicate")), F.when(~F.col("_kept"), F.lit("over_cap")))
+    return out.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))).drop("_broken", "_headline", "_order", "_kept")

@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.operators.ranking import numbered_per_key
+from skeinflow.runtime import Scratch
+
 
 def greedy_chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, most_rows: int, most_size: int) -> DataFrame:
     """Number the parts when each key's rows are filled, in order, into parts of bounded count and size.
@@ -38,28 +41,48 @@ def greedy_chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], si
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, f"{schema}, part_no bigint")
 
 
+#: Rows of a key that one task of a blocked window has at most.
+BLOCK = 10_000
+
+
 def without_overlap(spans: DataFrame, key: str, start: str, end: str, tie: str) -> DataFrame:
     """Spans of each key, in order of start, without what an earlier one covers.
 
     A span inside what came before is dropped; one that begins inside it begins after its end
-    instead. What came before always ends at the largest end so far, so this is a running maximum.
-    Closed integer intervals; spans with a null bound or an end before the start are dropped.
+    instead. What came before always ends at the largest end so far, a running maximum: over the
+    rows of a block, and over the maxima of the key's earlier blocks, so a hot key is many tasks.
+    Closed integer intervals; spans with a null key or bound or an end before the start are dropped.
     """
-    w = Window.partitionBy(key).orderBy(start, F.desc(end), tie).rowsBetween(Window.unboundedPreceding, -1)
-    seen = spans.where(F.col(end) >= F.col(start)).withColumn("_upto", F.max(end).over(w))
+    valid = spans.where((F.col(end) >= F.col(start)) & F.col(key).isNotNull()).withColumn("_down", -F.col(end))
+    rows = numbered_per_key(valid, key, [start, "_down", tie], "_n").withColumn("_block", F.expr(f"(_n - 1) div {BLOCK}"))
+    rows = Scratch(spans.sparkSession, "overlap").save(rows)
+    tops = rows.groupBy(key, "_block").agg(F.max(end).alias("_top"))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(key, "_block", F.max("_top").over(earlier).alias("_before"))
+    here = Window.partitionBy(key, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.join(tops, [key, "_block"]).withColumn("_upto", F.greatest(F.max(end).over(here), F.col("_before")))
     return (
         seen.where(F.col("_upto").isNull() | (F.col(end) > F.col("_upto")))
         .withColumn("trimmed", F.coalesce(F.col(start) <= F.col("_upto"), F.lit(False)))
         .withColumn(start, F.when(F.col("trimmed"), F.col("_upto") + 1).otherwise(F.col(start)))
-        .drop("_upto")
+        .drop("_upto", "_before", "_block", "_n", "_seq", "_down")
     )
 
 
-def context(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, size: int, out: str = "context", separator: str = "\n") -> DataFrame:
-    """Each row with the texts of ``size`` rows around it: (size - 1) // 2 before it, the rest after. Null texts are skipped."""
+def context(rows: DataFrame, key: str, order: Sequence[str], text: str, size: int, out: str = "context", separator: str = "\n") -> DataFrame:
+    """Each row with the texts of ``size`` rows around it: (size - 1) // 2 before it, the rest after.
+
+    Null texts are skipped; null keys are a key of their own. Windows run over blocks of a key's
+    rows, to which the rows next to a block are lent, so a hot key is many tasks.
+    """
     before = (size - 1) // 2
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-before, size - 1 - before)
-    return rows.withColumn(out, F.array_join(F.collect_list(text).over(w), separator))
+    after = size - 1 - before
+    block = max(BLOCK, size)
+    placed = numbered_per_key(rows, key, order, "_n").withColumn("_own", F.expr(f"(_n - 1) div {block}"))
+    blocks = F.array_distinct(F.array(F.col("_own"), F.expr(f"(_n - 1 + {before}) div {block}"), F.expr(f"greatest(_n - 1 - {after}, 0) div {block}")))
+    lent = placed.withColumn("_block", F.explode(blocks))
+    w = Window.partitionBy(key, "_block").orderBy("_n").rowsBetween(-before, after)
+    return lent.withColumn(out, F.array_join(F.collect_list(text).over(w), separator)).where("_own = _block").drop("_n", "_own", "_block", "_seq")
 
 
 def recency_weight(rows: DataFrame, at: str, steps: Sequence[tuple[int, float]], out: str = "recency") -> DataFrame:

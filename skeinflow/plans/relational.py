@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import columns as C
 from skeinflow.operators import graph, matching, ranking, scoring, sequences, sets
+from skeinflow.operators.skew import lookup_join
 from skeinflow.plans.messages import MESSAGES, config_in_force
 from skeinflow.plans.relational_sql import SQL  # noqa: F401
 from skeinflow.runtime import table
@@ -66,7 +67,7 @@ def thread_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each pair by whether their own partner agrees with the thread's."""
     rows = table(spark, sf_dir, MESSAGES)
     known = rows.where("partner_id IS NOT NULL AND partner_id <> 'unknown'").groupBy("thread_id").agg(F.min("partner_id").alias("thread_partner"))
-    joined = rows.join(known, "thread_id", "left")
+    joined = lookup_join(rows, known, "thread_id", "left")
     state = F.when(F.col("thread_partner").isNull(), "none").when(F.col("partner_id").eqNullSafe(F.col("thread_partner")), "same").otherwise("filled")
     return joined.groupBy("dm_pair_id", state.alias("partner")).agg(_n("rows"))
 
@@ -262,9 +263,9 @@ def claim_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why claims want attention, all reasons of each."""
-    rows = table(spark, sf_dir, "claims")
-    size = F.count(F.lit(1)).over(Window.partitionBy("target_entity_id", C.name_key(F.col("claim_text"))))
-    found = C.flags(untargeted=F.col("target_entity_id").isNull(), no_evidence=F.size(F.coalesce("source_snippet_ids", F.array().cast("array<string>"))) == 0, unsure=F.coalesce("confidence", F.lit(0.0)) < 0.65, repeated=F.col("claim_text").isNotNull() & (size > 1), undecided=F.col("status").isin("draft", "defer"))
+    rows = table(spark, sf_dir, "claims").withColumn("_key", F.sha2(F.concat_ws("\x1f", F.coalesce("target_entity_id", F.lit("\x1e")), C.name_key(F.col("claim_text"))), 256)).withColumn("_key", F.when(F.col("claim_text").isNotNull(), F.col("_key")))
+    rows = lookup_join(rows, rows.where("_key IS NOT NULL").groupBy("_key").agg(_n("_n")), "_key", "left")
+    found = C.flags(untargeted=F.col("target_entity_id").isNull(), no_evidence=F.size(F.coalesce("source_snippet_ids", F.array().cast("array<string>"))) == 0, unsure=F.coalesce("confidence", F.lit(0.0)) < 0.65, repeated=F.col("_n") > 1, undecided=F.col("status").isin("draft", "defer"))
     return rows.select("claim_id", F.array_join(found, ",").alias("reasons"))
 
 
@@ -297,7 +298,7 @@ def segment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct messages with the digest of the five messages around each in its conversation."""
     rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", F.trim("message_id").alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.coalesce("content_normalized", F.lit(""))).alias("text"))
-    return sequences.context(rows, ["conversation_id"], ["us", "message_id"], "text", 5).select("conversation_id", "message_id", F.md5("context").alias("context_md5"))
+    return sequences.context(rows, "conversation_id", ["us", "message_id"], "text", 5).select("conversation_id", "message_id", F.md5("context").alias("context_md5"))
 
 
 def conversation_openings(spark: SparkSession, sf_dir: str) -> DataFrame:

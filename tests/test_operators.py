@@ -57,7 +57,7 @@ def test_ranking(spark):
     assert values(ranking.best_row(df, ["k"], F.struct("n", "t")).select("k", "t")) == [("a", "y"), ("b", None), (None, "z")]
     assert values(ranking.top_per_key(df, ["k"], [F.desc("n")], 1).select("k", "n")) == [("a", 3), ("b", 2), (None, 1)]
     assert values(ranking.sequence(df, "k", ["n"], "t").select("k", "sequence_no", "requires")) == [("a", 1, None), ("a", 2, "x"), ("b", 1, None), (None, 1, None)]
-    assert values(ranking.first_tier(df, ["k"], "n").select("k", "n")) == [("a", 1), ("b", 2), (None, 1)]
+    assert values(ranking.first_tier(df, "k", "n").select("k", "n")) == [("a", 1), ("b", 2)]
     text = spark.createDataFrame([("a", 1, "abcd"), ("a", 2, "efgh"), ("a", 3, "i")], "k string, n int, t string")
     assert values(ranking.budget_prefix(text, "k", ["n"], "t", 9, 6).select("n", "kept_chars")) == [(1, 4), (2, 2)]
 
@@ -103,7 +103,25 @@ def test_sequences(spark):
     spans = spark.createDataFrame([("a", 1, 5, "x"), ("a", 2, 4, "y"), ("a", 4, 9, "z"), ("a", 1, 5, "w")], "k string, s long, e long, t string")
     assert values(sequences.without_overlap(spans, "k", "s", "e", "t").select("t", "s", "e")) == [("w", 1, 5), ("z", 6, 9)]
     texts = spark.createDataFrame([("a", i, c) for i, c in enumerate("pqrs")], "k string, i int, t string")
-    assert [r[0] for r in sequences.context(texts, ["k"], ["i"], "t", 3, separator="").orderBy("i").select("context").collect()] == ["pq", "pqr", "qrs", "rs"]
+    assert [r[0] for r in sequences.context(texts, "k", ["i"], "t", 3, separator="").orderBy("i").select("context").collect()] == ["pq", "pqr", "qrs", "rs"]
+
+
+def test_blocks_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "BLOCK", 7)
+    rows = [("a", i, str(i % 10)) for i in range(40)] + [("b", i, "x") for i in range(3)] + [(None, 1, "n"), (None, 2, None)]
+    df = spark.createDataFrame(rows, "k string, i int, t string")
+    got = {(r.k, r.i): r.c for r in sequences.context(df, "k", ["i"], "t", 4, "c", "").collect()}
+    for k in ("a", "b", None):
+        texts = [t or "" for kk, _, t in rows if kk == k]
+        for n, (kk, i, _) in enumerate(r for r in rows if r[0] == k):
+            assert got[(kk, i)] == "".join(texts[max(0, n - 1) : n + 3])
+    spans = [("a", i * 3, i * 3 + (50 if i == 5 else 4), str(i)) for i in range(40)]
+    upto, want = None, []
+    for k, s, e, t in spans:
+        if upto is None or e > upto:
+            want.append((t, s if upto is None or s > upto else upto + 1, e))
+        upto = e if upto is None else max(upto, e)
+    assert values(sequences.without_overlap(spark.createDataFrame(spans, "k string, s int, e int, t string"), "k", "s", "e", "t").select("t", "s", "e")) == sorted(want, key=repr)
 
 
 def test_graph(spark):
