@@ -21,7 +21,7 @@ WIDTH, STRIDE = 8, 4
 #: Labelled passages nearer than this cosine vote, with weight cosine ** POWER.
 NEAR, POWER = 0.5, 4
 #: Weight of the base rate in a vote, and the largest inverse document frequency (so that names don't outweigh all else).
-SMOOTH, MAX_IDF = 0.7, 4.6
+SMOOTH, MAX_IDF = 0.7, 2.5
 #: Words in fewer labelled documents are no terms of the index.
 MIN_LABELLED = 3
 #: Passages of fewer different terms tell nothing.
