@@ -28,8 +28,8 @@ MIN_LABELLED = 3
 MIN_TERMS = 2
 #: A document with a passage of at least this score counts as abusive.
 THRESHOLD = 0.5
-#: A passage of an abusive document is an offending example if the vote of the other documents is at least this.
-OFFENDING = 0.35
+#: A passage of an abusive document is an offending example if its own neighbours' vote is at least this.
+OFFENDING = 0.5
 BLOCK = 64
 
 # Letters of other scripts that look like Latin ones, and digits and signs typed for letters.
@@ -153,11 +153,8 @@ class Examples:
         np.maximum.at(self.top, flat, impact)
         self.sums = None  # space for the sums of one look-up, made where it is used
 
-    def votes(self, ids: Sequence[int], own: float = 0.0) -> tuple[float, int]:
-        """The score of a bag of terms and its nearest example that has an abusive label, or -1.
-
-        ``own`` is the abusive weight that comes from the bag's own document and is left out.
-        """
+    def votes(self, ids: Sequence[int]) -> tuple[float, int]:
+        """The score of a bag of terms and its nearest example that has an abusive label, or -1."""
         terms, tf = np.unique(np.asarray(ids), return_counts=True)
         weight = tf * self.idf[terms]
         weight = weight / (np.sqrt((weight**2).sum()) or 1)
@@ -192,7 +189,7 @@ class Examples:
         if not len(near):
             return 0.0, -1
         w = score**POWER
-        pos, neg = max(float(w @ self.abusive[near]) - own, 0.0), float(w @ self.clean[near])
+        pos, neg = float(w @ self.abusive[near]), float(w @ self.clean[near])
         value = (pos + SMOOTH * self.base) / (pos + neg + SMOOTH)
         bad = self.abusive[near] > 0
         return value, int(near[bad][np.argmax(score[bad])]) if bad.any() else -1
@@ -324,7 +321,7 @@ def _examples(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray,
 
     def self_vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            votes = [shared.value.votes(t, own=1.0)[0] for t in b.column(1).to_pylist()]
+            votes = [shared.value.votes(t)[0] for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(votes, pa.float64())], names=["e", "v"])
 
     bad = [(int(i), list(keys[i])) for i in np.flatnonzero(examples.abusive > 0)]
