@@ -38,16 +38,18 @@ def numbered(df: DataFrame, order: Sequence[str], number: str = "seq") -> DataFr
     the number of rows in the partitions before its own: one small row for each partition is broadcast.
     """
     scratch = Scratch(df.sparkSession, "numbered")
+    at, part, before = "__numbered_at", "__numbered_part", "__numbered_before"
     ordered = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
-    held = scratch.save(ordered.withColumn("_at", F.monotonically_increasing_id()))
-    held = held.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = {r["_part"]: r["count"] for r in held.groupBy("_part").count().collect()}
-    before, offsets = 0, []
-    for part in sorted(sizes):
-        offsets.append((part, before))
-        before += sizes[part]
-    starts = df.sparkSession.createDataFrame(offsets, "_part bigint, _before bigint")
-    return held.join(F.broadcast(starts), "_part").withColumn(number, F.col("_before") + F.col("_row") + 1).drop("_part", "_at", "_row", "_before")
+    held = scratch.save(ordered.withColumn(at, F.monotonically_increasing_id()))
+    held = held.withColumn(part, F.shiftright(at, 33))
+    sizes = {r[part]: r["count"] for r in held.groupBy(part).count().collect()}
+    so_far, offsets = 0, []
+    for p in sorted(sizes):
+        offsets.append((p, so_far))
+        so_far += sizes[p]
+    starts = df.sparkSession.createDataFrame(offsets, f"{part} bigint, {before} bigint")
+    row = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(F.broadcast(starts), part).withColumn(number, F.col(before) + row + 1).drop(part, at, before)
 
 
 def numbered_per_key(df: DataFrame, key: str, order: Sequence[str], number: str) -> DataFrame:

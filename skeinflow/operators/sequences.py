@@ -95,3 +95,25 @@ def recency_weight(rows: DataFrame, at: str, steps: Sequence[tuple[int, float]],
         weight = F.when(hit, F.lit(w)) if weight is None else weight.when(hit, F.lit(w))
     # One row, so joining it with every row is no cross product.
     return rows.join(F.broadcast(newest)).withColumn(out, F.coalesce(weight, F.lit(1.0)) if weight is not None else F.lit(1.0)).drop("_newest")
+
+
+def last_before(points: DataFrame, events: DataFrame, key: str, at: str, value: str, out: str = "last") -> DataFrame:
+    """As-of join: each point with the ``value`` of its key's last event at or before it, null where there is none.
+
+    Of events at one time the largest value counts. Points and events are numbered together by key
+    and time; blocks of a key carry their last value over to the next, so a hot key is many tasks.
+    Points with a null key or time have a null result and are kept.
+    """
+    happened = events.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(value).isNotNull()).groupBy(key, at).agg(F.max(value).alias("_value"))
+    valid = F.col(key).isNotNull() & F.col(at).isNotNull()
+    both = happened.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(0).alias("_point"), "_value", F.lit(None).cast(points.select(F.struct("*").alias("r")).schema["r"].dataType).alias("_row"))
+    asked = points.where(valid).select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(1).alias("_point"), F.lit(None).cast(happened.schema["_value"].dataType).alias("_value"), F.struct(*points.columns).alias("_row"))
+    rows = numbered_per_key(both.unionByName(asked), "_k", ["_at", "_point"], "_n").withColumn("_block", F.expr(f"(_n - 1) div {BLOCK}"))
+    rows = Scratch(points.sparkSession, "asof").save(rows)
+    carried = rows.groupBy("_k", "_block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_n"))).alias("_carry"))
+    earlier = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.select("_k", "_block", F.last("_carry", ignorenulls=True).over(earlier).alias("_carry"))
+    here = Window.partitionBy("_k", "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.join(carried, ["_k", "_block"]).withColumn("_last", F.coalesce(F.last("_value", ignorenulls=True).over(here), F.col("_carry"))).where("_point = 1")
+    done = found.select("_row.*", F.col("_last").alias(out))
+    return done.unionByName(points.where(~F.coalesce(valid, F.lit(False))).withColumn(out, F.lit(None).cast(happened.schema["_value"].dataType)))

@@ -124,6 +124,15 @@ def test_blocks_of_hot_keys(spark, monkeypatch):
     assert values(sequences.without_overlap(spark.createDataFrame(spans, "k string, s int, e int, t string"), "k", "s", "e", "t").select("t", "s", "e")) == sorted(want, key=repr)
 
 
+def test_last_before(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "BLOCK", 4)
+    events = [("a", 5 * i, f"e{i:02d}") for i in range(12)] + [("a", 10, "e99"), ("b", 7, "x"), (None, 1, "n"), ("a", None, "n"), ("b", 8, None)]
+    points = [("a", t, i) for i, t in enumerate([-1, 0, 4, 5, 10, 12, 31, 500])] + [("b", 9, 20), ("c", 9, 21), (None, 9, 22), ("a", None, 23)]
+    got = sequences.last_before(spark.createDataFrame(points, "k string, _at int, _row int"), spark.createDataFrame(events, "k string, _at int, v string"), "k", "_at", "v")
+    want = {0: None, 1: "e00", 2: "e00", 3: "e01", 4: "e99", 5: "e99", 6: "e06", 7: "e11", 20: "x", 21: None, 22: None, 23: None}
+    assert {r["_row"]: r["last"] for r in got.collect()} == want
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("y", "x"), ("z", "z"), (None, "q")], "s string, t string")
     assert values(graph.reachable_minimum(edges, "s", "t")) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x")]
