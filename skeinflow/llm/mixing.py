@@ -135,7 +135,8 @@ def p8_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> D
     targets = mix_targets(spark, sf_dir)
     mixed = p8_mixture(spark, sf_dir, tokenizer).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("copy_no").alias("most_uses"))
     wanted = spark.createDataFrame([(s, t[0], t[1]) for s, t in targets.items()], "source string, target_share double, max_repeats int")
-    whole = mixed.agg(F.sum("tokens").alias("all_tokens"))
-    return wanted.join(mixed, "source", "left").join(F.broadcast(whole)).select(
-        "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "max_repeats", F.coalesce("most_uses", F.lit(0)).alias("most_uses")
+    mixed = Scratch(spark, "shares").save(mixed)
+    whole = mixed.agg(F.sum("tokens")).collect()[0][0] or 1
+    return wanted.join(mixed, "source", "left").select(
+        "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.lit(whole)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "max_repeats", F.coalesce("most_uses", F.lit(0)).alias("most_uses")
     )
