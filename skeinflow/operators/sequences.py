@@ -87,14 +87,12 @@ def context(rows: DataFrame, key: str, order: Sequence[str], text: str, size: in
 
 def recency_weight(rows: DataFrame, at: str, steps: Sequence[tuple[int, float]], out: str = "recency") -> DataFrame:
     """A weight by age in days before the newest row of all; the first step that is old enough counts, beyond all 1."""
-    newest = rows.agg(F.max(F.unix_micros(at)).alias("_newest"))
-    age = F.col("_newest") - F.unix_micros(at)
-    weight = None
-    for days, w in steps:
-        hit = age <= F.lit(days * 86_400_000_000)
-        weight = F.when(hit, F.lit(w)) if weight is None else weight.when(hit, F.lit(w))
-    # One row, so joining it with every row is no cross product.
-    return rows.join(F.broadcast(newest)).withColumn(out, F.coalesce(weight, F.lit(1.0)) if weight is not None else F.lit(1.0)).drop("_newest")
+    newest = rows.agg(F.max(F.unix_micros(at))).collect()[0][0]  # one number
+    age = F.lit(newest).cast("long") - F.unix_micros(at)
+    weight = F.lit(1.0)
+    for days, w in reversed(steps):
+        weight = F.when(age <= F.lit(days * 86_400_000_000), F.lit(w)).otherwise(weight)
+    return rows.withColumn(out, weight)
 
 
 def last_before(points: DataFrame, events: DataFrame, key: str, at: str, value: str, out: str = "last") -> DataFrame:
