@@ -48,18 +48,14 @@ def name_filter(names: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray, in
     return found[0], found[1], mask, sorted(sizes)
 
 
-def mentions(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: str, name: str) -> DataFrame:
-    """``doc, entity, mentions``: how often each name stands in each text as whole words.
+def _found_names(texts: DataFrame, doc: str, text: str, keyed: DataFrame) -> DataFrame:
+    """``_doc, _name, _at``: word sequences of the texts that may be names, with the numbers of their first words.
 
-    Texts and names are compared in key form (lower case a-z, 0-9). Instead of testing every name
-    against every text, texts are cut into the word sequences of the lengths that names have, which
-    meet the names in an equi-join. A bit set of the names' hashes keeps back sequences that can't be
-    one before anything is shuffled, and repeats in a text are counted first. Null or empty names and
-    texts give no rows. A name of several entities counts for each.
+    A bit set of the names' hashes keeps back all others before anything is shuffled; the few that
+    pass by chance fall out in the join with the names.
     """
     spark = texts.sparkSession
     ship(spark)
-    keyed = names.select(F.col(entity).alias("_entity"), name_key(F.col(name)).alias("_name")).where("_name <> ''").distinct()
     shared = spark.sparkContext.broadcast(name_filter(keyed.select("_name").distinct(), "_name"))
     kind = texts.schema[doc].dataType.simpleString()
 
@@ -68,10 +64,10 @@ def mentions(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: st
         whole, heads = np.unpackbits(packed).tobytes(), np.unpackbits(packed_heads).tobytes()
         known: dict[str, bool] = {}
         for b in batches:
-            rows, found, counts = [], [], []
+            rows, found, places = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 words = re.findall("[a-z0-9]+", t.lower()) if t else []
-                here: dict[str, int] = {}
+                here: dict[str, list[int]] = {}
                 for at, w in enumerate(words):
                     head = known.get(w)
                     if head is None:
@@ -84,16 +80,45 @@ def mentions(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: st
                                 break
                             key = " ".join(words[at : at + n])
                             if whole[_slot(key, mask)]:
-                                here[key] = here.get(key, 0) + 1
+                                here.setdefault(key, []).append(at)
                 rows += [i] * len(here)
                 found += here
-                counts += here.values()
-            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=["_doc", "_name", "_n"])
+                places += here.values()
+            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["_doc", "_name", "_at"])
+
+    return texts.select(F.col(doc).alias("_doc"), text).mapInArrow(run, f"_doc {kind}, _name string, _at array<int>")
+
+
+def mentions(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: str, name: str) -> DataFrame:
+    """``doc, entity, mentions``: how often each name stands in each text as whole words.
 
-    counted = texts.select(F.col(doc).alias("_doc"), text).mapInArrow(run, f"_doc {kind}, _name string, _n bigint")
+    Texts and names are compared in key form (lower case a-z, 0-9). Instead of testing every name
+    against every text, texts are cut into the word sequences of the lengths that names have, which
+    meet the names in an equi-join, repeats in a text as one row. Null or empty names and texts give
+    no rows. A name of several entities counts for each.
+    """
+    keyed = names.select(F.col(entity).alias("_entity"), name_key(F.col(name)).alias("_name")).where("_name <> ''").distinct()
+    counted = _found_names(texts, doc, text, keyed).select("_doc", "_name", F.size("_at").cast("long").alias("_n"))
     return counted.join(keyed, "_name").groupBy("_doc", "_entity").agg(F.sum("_n").alias("mentions")).select(F.col("_doc").alias(doc), F.col("_entity").alias(entity), "mentions")
 
 
+def first_links(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: str, name: str) -> DataFrame:
+    """``doc, entity, word_no, words``: where a text would link to each entity.
+
+    From left to right the longest name at each place is taken, nothing inside it; each entity
+    is linked at its first taken mention. A name of several entities means the smallest. ``word_no``
+    counts from 0 in key form. What is gathered for the fold is one text's mentions.
+    """
+    keyed = names.select(F.col(entity).alias("_entity"), name_key(F.col(name)).alias("_name")).where("_name <> ''").groupBy("_name").agg(F.min("_entity").alias("_entity"))
+    found = _found_names(texts, doc, text, keyed).join(keyed, "_name").select("_doc", "_entity", F.size(F.split("_name", " ")).alias("_n"), F.explode("_at").alias("_p"))
+    spans = found.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct(F.col("_p").alias("p"), (-F.col("_n")).alias("m"), F.col("_entity").alias("e")))).alias("_spans"))
+    start = F.struct(F.lit(0).alias("upto"), F.filter("_spans", lambda s: F.lit(False)).alias("kept"))
+    fold = F.aggregate("_spans", start, lambda acc, s: F.when(s["p"] < acc["upto"], acc).otherwise(F.struct((s["p"] - s["m"]).alias("upto"), F.array_append(acc["kept"], s).alias("kept"))))
+    taken = spans.select("_doc", F.explode(fold["kept"]).alias("s"))
+    first = taken.groupBy("_doc", F.col("s.e").alias("_entity")).agg(F.min(F.struct("s.p", "s.m")).alias("f"))
+    return first.select(F.col("_doc").alias(doc), F.col("_entity").alias(entity), F.col("f.p").cast("long").alias("word_no"), (-F.col("f.m")).cast("long").alias("words"))
+
+
 def resolve(rows: DataFrame, keys: Sequence[tuple[str, Column]], lookups: Sequence[DataFrame], out: str) -> DataFrame:
     """References resolved by the first of several ways that works.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.operators.ranking import best_row
+from skeinflow.operators.skew import lookup_join
 
 
 def union_first_wins(tables: Sequence[DataFrame], key: str, order: Sequence[str]) -> DataFrame:
@@ -57,3 +58,24 @@ def dangling(children: DataFrame, ref: str, parents: DataFrame, key: str, issue:
     """``issue, ref``: references that lead nowhere."""
     known = parents.select(F.col(key).alias(ref)).distinct()
     return children.where(F.col(ref).isNotNull()).select(ref).distinct().join(known, ref, "left_anti").select(F.lit(issue).alias("issue"), F.col(ref).alias("reference"))
+
+
+def remapped(rows: DataFrame, column: str, mapping: DataFrame, old: str, new: str) -> DataFrame:
+    """References replaced by what they were merged into; the original stays as ``original_`` column. Unmapped ones stay.
+
+    ``mapping`` has one row for each ``old`` value; a null ``new`` maps nothing.
+    """
+    table = mapping.where(F.col(new).isNotNull()).select(F.col(old).alias("_old"), F.col(new).alias("_new"))
+    joined = lookup_join(rows.withColumn("_old", F.col(column)), table, "_old", "left")
+    return joined.withColumn(f"original_{column}", F.col(column)).withColumn(column, F.coalesce("_new", F.col(column))).drop("_old", "_new")
+
+
+def remapped_lists(rows: DataFrame, key: str, column: str, mapping: DataFrame, old: str, new: str) -> DataFrame:
+    """``key, column``: lists of references with each replaced by what it was merged into, in order, without repetition.
+
+    ``key`` is unique; null and empty lists stay as they are.
+    """
+    each = rows.select(F.col(key), F.posexplode(column).alias("_pos", "_ref"))
+    done = remapped(each, "_ref", mapping, old, new).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_ref"))).alias("_list"))
+    renewed = done.select(F.col(key), F.array_distinct(F.transform("_list", lambda x: x["_ref"])).alias("_renewed"))
+    return rows.select(key, column).join(renewed, key, "left").select(key, F.coalesce("_renewed", F.col(column)).alias(column))

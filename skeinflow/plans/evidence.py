@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import columns as C
-from skeinflow.operators import graph, ranking, sequences, sets
+from skeinflow.operators import graph, matching, ranking, sequences, sets
 from skeinflow.plans.messages import MESSAGES, config_in_force
 from skeinflow.plans.normalising import KEY
-from skeinflow.plans.relational import entity_inventory, relationship_edges
+from skeinflow.plans.relational import entity_inventory, merge_targets, relationship_edges
 from skeinflow.plans.relational_sql import SQL as _OTHERS
 from skeinflow.runtime import table
 
@@ -116,9 +116,21 @@ def claims_of_kept_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.pending(sets.pending(rows, "target_entity_id", blocked), "key", blocked).select("claim_id")
 
 
+def merged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with their target replaced by the entity that it was merged into in the end."""
+    rows = table(spark, sf_dir, "claims").where("target_entity_id IS NOT NULL").select("claim_id", "target_entity_id")
+    return sets.remapped(rows, "target_entity_id", merge_targets(spark, sf_dir), "source_entity_id", "final")
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each text would link to each entity: longest names first, each entity once."""
+    seeds = table(spark, sf_dir, "entity_seed").select("entity_id", "canonical_name").distinct()
+    return matching.first_links(table(spark, sf_dir, "documents"), "doc_id", "text", seeds, "entity_id", "canonical_name")
+
+
 QUERIES = {
     f.__name__: f
-    for f in [segment_scores, tag_strengths, confident_components, canonical_members, recent_history, entity_priorities, quoted_evidence, distinct_segments, running_confidence, owner_before_segment, inventory_page, visible_graph, claims_of_kept_entities]
+    for f in [segment_scores, tag_strengths, confident_components, canonical_members, recent_history, entity_priorities, quoted_evidence, distinct_segments, running_confidence, owner_before_segment, inventory_page, visible_graph, claims_of_kept_entities, merged_claims, page_links]
 }
 _REACH = "r AS (SELECT a AS v, least(a, b) AS low FROM d UNION SELECT d.b, r.low FROM r JOIN d ON d.a = r.v)"
 _OWNER = "(SELECT self_user_id FROM pipeline_config WHERE enabled AND section = 'conversation_segmentation' ORDER BY config_id LIMIT 1)"
@@ -144,6 +156,8 @@ SQL = {
     "owner_before_segment": f"""WITH o AS (SELECT dm_pair_id, epoch_us(timestamp_utc) AS us, max(trim(message_id, ' ')) AS m FROM {MESSAGES} WHERE author_id = {_OWNER} AND timestamp_utc IS NOT NULL GROUP BY 1, 2),
       s AS (SELECT conversation_id, dm_pair_id, epoch_us(timestamp_start_utc) AS us FROM conversation_segments)
       SELECT conversation_id, m AS owner_message FROM s LEFT JOIN (SELECT s.conversation_id AS c, max_by(o.m, o.us) AS m FROM s JOIN o ON o.dm_pair_id = s.dm_pair_id AND o.us <= s.us GROUP BY 1) ON c = conversation_id""",
+    "merged_claims": f"""WITH t AS ({_OTHERS['merge_targets']}) SELECT claim_id, coalesce(t.final, target_entity_id) AS target_entity_id, target_entity_id AS original_target_entity_id
+      FROM claims LEFT JOIN t ON t.source_entity_id = target_entity_id WHERE target_entity_id IS NOT NULL""",
     "inventory_page": f"SELECT entity_id, entity_type, documents FROM ({_OTHERS['entity_inventory']}) WHERE bucket = 'ready' ORDER BY documents DESC, entity_id LIMIT 50",
     "visible_graph": f"WITH e AS (SELECT * FROM ({_OTHERS['relationship_edges']}) ORDER BY evidence DESC, entity_id, target, relation NULLS FIRST LIMIT 50) SELECT node, count(*) AS edges FROM (SELECT entity_id AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1",
     "claims_of_kept_entities": f"""WITH b AS (SELECT entity_id, {KEY % 'canonical_name'} AS key FROM entity_seed WHERE seed_status = 'blocked_seed')

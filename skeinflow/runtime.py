@@ -58,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     app = spark.sparkContext.applicationId

@@ -80,6 +80,20 @@ def test_mentions_are_whole_words(spark):
     assert matching.mentions(docs, "d", "t", names.where("false"), "e", "n").count() == 0
 
 
+def test_links_take_the_longest_name_first(spark):
+    docs = spark.createDataFrame([(1, "the Order of Ember and Ember, Order of Ember; order"), (2, None), (3, "Mount Order of Ember")], "d int, t string")
+    names = spark.createDataFrame([("e1", "Order of Ember"), ("e2", "Ember"), ("e3", "Mount Order"), ("e4", "of Ember"), ("e5", None), ("e0", "ember")], "e string, n string")
+    assert values(matching.first_links(docs, "d", "t", names, "e", "n")) == [(1, "e0", 5, 1), (1, "e1", 1, 3), (3, "e3", 0, 2), (3, "e4", 2, 2)]
+    assert matching.first_links(docs.where("false"), "d", "t", names, "e", "n").count() == 0
+
+
+def test_remapped_references(spark):
+    mapping = spark.createDataFrame([("a", "z"), ("b", "z"), ("c", None)], "o string, n string")
+    rows = spark.createDataFrame([("1", "a", ["a", "b", "c", "a"]), ("2", "c", None), ("3", None, [])], "k string, r string, l array<string>")
+    assert values(sets.remapped(rows, "r", mapping, "o", "n").select("k", "r", "original_r")) == [("1", "z", "a"), ("2", "c", "c"), ("3", None, None)]
+    assert values(sets.remapped_lists(rows, "k", "l", mapping, "o", "n")) == [("1", ["z", "c"]), ("2", None), ("3", [])]
+
+
 def test_references_and_prefixes(spark):
     rows = spark.createDataFrame([("1", "a"), ("9", "b"), (None, None)], "id string, name string")
     by_id = spark.createDataFrame([("1", "E1")], "key string, value string")
