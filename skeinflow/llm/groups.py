@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.text import is_blank, name_fold
-from skeinflow.operators.skew import lookup_join
+from skeinflow.operators.skew import hot_keys, lookup_join
 from skeinflow.runtime import Scratch, table
 
 
@@ -82,12 +82,16 @@ def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.when(~is_blank(F.col(f"{s}_entity_id")), F.col(f"{s}_entity_id")).alias(f"{s}_id") for s in ("source", "target")],
         *[name_fold(F.col(f"{s}_entity_name")).alias(f"{s}_name") for s in ("source", "target")],
     ).distinct()
+    merges = Scratch(spark, "links").save(merges)
     ends = merges
     for side in ("source", "target"):
-        ends = lookup_join(ends.withColumn("known", F.col(f"{side}_id")), by_id.withColumn("_ok", F.lit(True)), "known", "left").withColumn(f"{side}_ok", F.col("_ok")).drop("known", "_ok")
-        ends = lookup_join(
-            ends.withColumn("name_key", F.when(F.col(f"{side}_id").isNull(), F.col(f"{side}_name"))), by_name, "name_key", "left"
-        ).withColumn(f"{side}_end", F.when(F.col(f"{side}_id").isNull(), F.col("named")).when(F.col(f"{side}_ok"), F.col(f"{side}_id"))).drop("name_key", "named")
+        by = F.when(F.col(f"{side}_id").isNull(), F.col(f"{side}_name"))
+        hot_ids = hot_keys(merges, f"{side}_id")
+        hot_names = hot_keys(merges.select(by.alias("name_key")), "name_key")
+        ends = lookup_join(ends.withColumn("known", F.col(f"{side}_id")), by_id.withColumn("_ok", F.lit(True)), "known", "left", hot=hot_ids).withColumn(f"{side}_ok", F.col("_ok")).drop("known", "_ok")
+        ends = lookup_join(ends.withColumn("name_key", by), by_name, "name_key", "left", hot=hot_names)
+        end = F.when(F.col(f"{side}_id").isNull(), F.col("named")).when(F.col(f"{side}_ok"), F.col(f"{side}_id"))
+        ends = ends.withColumn(f"{side}_end", end).drop("name_key", "named")
     return ends.select(F.col("source_end").alias("a"), F.col("target_end").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
