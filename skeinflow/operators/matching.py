@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions.columns import name_key
-from skeinflow.operators.skew import lookup_join
+from skeinflow.operators.skew import hot_keys, lookup_join
 from skeinflow.runtime import ship
 
 
@@ -126,9 +126,11 @@ def resolve(rows: DataFrame, keys: Sequence[tuple[str, Column]], lookups: Sequen
     key. Adds ``out`` and ``out_by``, the name of the way; both null where none works.
     """
     values: list[Column] = []
+    # Hot keys are looked for before the first join, where they cost a scan of one column.
+    hot = [hot_keys(rows.select(expr.alias("_k")), "_k") for _, expr in keys]
     for i, ((_, expr), lookup) in enumerate(zip(keys, lookups)):
         table = lookup.where("key IS NOT NULL").select(F.col("key").alias(f"_k{i}"), F.col("value").alias(f"_v{i}"))
-        rows = lookup_join(rows.withColumn(f"_k{i}", expr), table, f"_k{i}", "left")
+        rows = lookup_join(rows.withColumn(f"_k{i}", expr), table, f"_k{i}", "left", hot=hot[i])
         values.append(F.col(f"_v{i}"))
     by = None
     for (label, _), v in zip(keys, values):

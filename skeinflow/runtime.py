@@ -67,6 +67,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
+_BASES: dict[str, list[str]] = {}
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application's operators left in the shared folder. Results not yet written can't be read afterwards."""
+    for base in _BASES.pop(spark.sparkContext.applicationId, []):
+        target = spark._jvm.org.apache.hadoop.fs.Path(base)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Scratch:
     """Tables written to the shared folder so that a later step, or a retry after a lost executor,
     reads files instead of recomputing a lineage. ``save`` replaces a table's plan by a scan of its
@@ -77,6 +87,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _BASES.setdefault(spark.sparkContext.applicationId, []).append(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
