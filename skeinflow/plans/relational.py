@@ -317,9 +317,12 @@ def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each merged entity's chain of accepted merges ends."""
-    moves = table(spark, sf_dir, "identity_merges").where("source_entity_id IS NOT NULL AND target_entity_id IS NOT NULL").groupBy("source_entity_id").agg(F.min("target_entity_id").alias("target_entity_id"))
-    return graph.final_targets(moves.where("source_entity_id < target_entity_id"), "source_entity_id", "target_entity_id")
+    """Where each merged entity's chain of accepted merges ends; null for those that run in or into a cycle.
+
+    Pairs of an entity with itself are no merges. Of several targets of one source the smallest counts.
+    """
+    moves = table(spark, sf_dir, "identity_merges").where("source_entity_id <> target_entity_id").groupBy("source_entity_id").agg(F.min("target_entity_id").alias("target_entity_id"))
+    return graph.final_targets(moves, "source_entity_id", "target_entity_id")
 
 
 def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
