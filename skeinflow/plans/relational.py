@@ -312,7 +312,7 @@ def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation cut into windows that a model takes: rows and characters bounded as configured."""
     config = config_in_force(spark, sf_dir)
     rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", F.trim("message_id").alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.length(F.coalesce("content_normalized", F.lit("")))).cast("long").alias("chars"))
-    parts = sequences.greedy_chunks(rows, ["conversation_id"], ["us", "message_id"], "chars", config["model_window_max_messages"] // 10, config["model_window_max_chars"] // 20)
+    parts = sequences.greedy_chunks(rows, ["conversation_id"], ["us", "message_id"], "chars", config["model_window_max_messages"], config["model_window_max_chars"])
     return parts.groupBy("conversation_id", "part_no").agg(_n("messages"), F.sum("chars").alias("chars"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
+import pytest
+
 from skeinflow.plans import evidence, relational
 
 MERGES = "source_entity_id string, target_entity_id string"
@@ -31,3 +35,31 @@ def test_merges_whatever_the_order_of_ids(spark, tables):
     assert got == followed(pairs) and got["z"] == ("b", 3) and got["a"] == ("k", 1) and got["t"] == (None, None) and "s" not in got
     claims = {r.claim_id: r.target_entity_id for r in evidence.merged_claims(spark, sf).collect()}
     assert claims == {"c0": "b", "c1": "c", "c2": "k", "c3": "s", "c4": "t", "c5": "n00", "c6": "b"}
+
+
+CONFIG = "config_id int, section string, enabled boolean, max_gap_hours double, self_user_id string, model_window_max_messages int, model_window_max_chars int"
+ROWS = "message_id string, conversation_id string, dm_pair_id string, author_id string, timestamp_utc timestamp, content_normalized string"
+
+
+def config(messages, chars):
+    return [(1, "conversation_segmentation", True, 12.0, "me", messages, chars), (2, "conversation_segmentation", False, 6.0, "me", 1, 1), (3, "other", True, None, None, 2, 2)], CONFIG
+
+
+def said(sizes, conversation="c"):
+    """Messages of these sizes, a minute apart."""
+    began = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    return [(f"m{i:03}", conversation, "p", "me", began + timedelta(minutes=i), "x" * n) for i, n in enumerate(sizes)]
+
+
+@pytest.mark.parametrize(
+    ("messages", "chars", "want"),
+    [
+        (3, 100, [(1, 3, 30), (2, 3, 30), (3, 1, 10)]),
+        (80, 20, [(1, 2, 20), (2, 2, 20), (3, 2, 20), (4, 1, 10)]),
+        (7, 70, [(1, 7, 70)]),
+        (80, 9, [(i, 1, 10) for i in range(1, 8)]),
+    ],
+)
+def test_windows_are_bounded_as_configured(spark, tables, messages, chars, want):
+    sf = tables(pipeline_config=config(messages, chars), messages_relevant_conversations=(said([10] * 7), ROWS))
+    assert sorted((r.part_no, r.messages, r.chars) for r in relational.model_windows(spark, sf).collect()) == want
