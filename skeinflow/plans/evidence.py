@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import columns as C
+from skeinflow.functions.text import trimmed
 from skeinflow.operators import graph, matching, ranking, sequences, sets
 from skeinflow.plans.messages import MESSAGES, config_in_force
 from skeinflow.plans.normalising import KEY
@@ -93,7 +94,7 @@ def running_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def owner_before_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The owner's last message in the pair at or before each segment's start."""
     owner = config_in_force(spark, sf_dir)["self_user_id"]
-    said = table(spark, sf_dir, MESSAGES).where((F.col("author_id") == owner) & F.col("timestamp_utc").isNotNull()).select("dm_pair_id", F.unix_micros("timestamp_utc").alias("us"), F.trim("message_id").alias("message_id"))
+    said = table(spark, sf_dir, MESSAGES).where((F.col("author_id") == owner) & F.col("timestamp_utc").isNotNull()).select("dm_pair_id", F.unix_micros("timestamp_utc").alias("us"), trimmed(F.col("message_id")).alias("message_id"))
     points = table(spark, sf_dir, "conversation_segments").select("conversation_id", "dm_pair_id", F.unix_micros("timestamp_start_utc").alias("us"))
     return sequences.last_before(points, said, "dm_pair_id", "us", "message_id", "owner_message").select("conversation_id", "owner_message")
 

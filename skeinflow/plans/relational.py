@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import columns as C
+from skeinflow.functions.text import trimmed
 from skeinflow.operators import graph, matching, ranking, scoring, sequences, sets
 from skeinflow.operators.skew import lookup_join
 from skeinflow.plans.messages import MESSAGES, config_in_force
@@ -75,7 +76,7 @@ def thread_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed messages of each segment with their place in the list and how often they were delivered."""
     listed = table(spark, sf_dir, "conversation_segments").select("conversation_id", F.posexplode("message_ids").alias("place", "message_id")).dropDuplicates(["conversation_id", "message_id"])
-    delivered = table(spark, sf_dir, MESSAGES).groupBy("conversation_id", F.trim("message_id").alias("message_id")).agg(_n("deliveries"))
+    delivered = table(spark, sf_dir, MESSAGES).groupBy("conversation_id", trimmed(F.col("message_id")).alias("message_id")).agg(_n("deliveries"))
     return listed.join(delivered, ["conversation_id", "message_id"]).groupBy("conversation_id").agg(_n("found"), F.sum("deliveries").alias("deliveries"))
 
 
@@ -297,13 +298,13 @@ def segment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct messages with the digest of the five messages around each in its conversation."""
-    rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", F.trim("message_id").alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.coalesce("content_normalized", F.lit(""))).alias("text"))
+    rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", trimmed(F.col("message_id")).alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.coalesce("content_normalized", F.lit(""))).alias("text"))
     return sequences.context(rows, "conversation_id", ["us", "message_id"], "text", 5).select("conversation_id", "message_id", F.md5("context").alias("context_md5"))
 
 
 def conversation_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first messages of each conversation, up to eight and 400 characters."""
-    rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", F.trim("message_id").alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.coalesce("content_normalized", F.lit(""))).alias("text"))
+    rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", trimmed(F.col("message_id")).alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.coalesce("content_normalized", F.lit(""))).alias("text"))
     kept = ranking.budget_prefix(rows, "conversation_id", ["us", "message_id"], "text", 8, 400)
     return kept.select("conversation_id", "message_id", F.col("place").cast("long").alias("place"), "kept_chars")
 
@@ -311,7 +312,7 @@ def conversation_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation cut into windows that a model takes: rows and characters bounded as configured."""
     config = config_in_force(spark, sf_dir)
-    rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", F.trim("message_id").alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.length(F.coalesce("content_normalized", F.lit("")))).cast("long").alias("chars"))
+    rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", trimmed(F.col("message_id")).alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.length(F.coalesce("content_normalized", F.lit("")))).cast("long").alias("chars"))
     parts = sequences.greedy_chunks(rows, ["conversation_id"], ["us", "message_id"], "chars", config["model_window_max_messages"], config["model_window_max_chars"])
     return parts.groupBy("conversation_id", "part_no").agg(_n("messages"), F.sum("chars").alias("chars"))
 

@@ -63,3 +63,15 @@ def said(sizes, conversation="c"):
 def test_windows_are_bounded_as_configured(spark, tables, messages, chars, want):
     sf = tables(pipeline_config=config(messages, chars), messages_relevant_conversations=(said([10] * 7), ROWS))
     assert sorted((r.part_no, r.messages, r.chars) for r in relational.model_windows(spark, sf).collect()) == want
+
+
+def test_ids_without_white_space_of_any_kind(spark, tables):
+    rows = said([10] * 9)
+    dressed = [("\t" + rows[0][0], *rows[0][1:]), (rows[0][0] + "\n", *rows[0][1:]), (f"\u00a0{rows[8][0]}\r\n", *rows[8][1:]), *rows[:8]]
+    segments = [("c", "p", [r[0] for r in rows], rows[8][4])], "conversation_id string, dm_pair_id string, message_ids array<string>, timestamp_start_utc timestamp"
+    sf = tables(pipeline_config=config(80, 1000), messages_relevant_conversations=(dressed, ROWS), conversation_segments=segments)
+    assert [tuple(r) for r in relational.segment_messages(spark, sf).select("found", "deliveries").collect()] == [(9, 11)]
+    assert sorted(r.message_id for r in relational.message_context(spark, sf).collect()) == [r[0] for r in rows]
+    assert sorted((r.place, r.message_id) for r in relational.conversation_openings(spark, sf).collect()) == [(i + 1, rows[i][0]) for i in range(8)]
+    assert [(r.messages, r.chars) for r in relational.model_windows(spark, sf).collect()] == [(9, 90)]
+    assert [r.owner_message for r in evidence.owner_before_segment(spark, sf).collect()] == [rows[8][0]]
