@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions.columns import name_key
+from skeinflow.operators.sequences import last_before
 from skeinflow.operators.skew import hot_keys, lookup_join
 from skeinflow.runtime import ship
 
@@ -99,7 +100,7 @@ def mentions(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: st
     """
     keyed = names.select(F.col(entity).alias("_entity"), name_key(F.col(name)).alias("_name")).where("_name <> ''").distinct()
     counted = _found_names(texts, doc, text, keyed).select("_doc", "_name", F.size("_at").cast("long").alias("_n"))
-    return counted.join(keyed, "_name").groupBy("_doc", "_entity").agg(F.sum("_n").alias("mentions")).select(F.col("_doc").alias(doc), F.col("_entity").alias(entity), "mentions")
+    return lookup_join(counted, keyed, "_name", unique=False).groupBy("_doc", "_entity").agg(F.sum("_n").alias("mentions")).select(F.col("_doc").alias(doc), F.col("_entity").alias(entity), "mentions")
 
 
 def first_links(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: str, name: str) -> DataFrame:
@@ -110,7 +111,7 @@ def first_links(texts: DataFrame, doc: str, text: str, names: DataFrame, entity:
     counts from 0 in key form. What is gathered for the fold is one text's mentions.
     """
     keyed = names.select(F.col(entity).alias("_entity"), name_key(F.col(name)).alias("_name")).where("_name <> ''").groupBy("_name").agg(F.min("_entity").alias("_entity"))
-    found = _found_names(texts, doc, text, keyed).join(keyed, "_name").select("_doc", "_entity", F.size(F.split("_name", " ")).alias("_n"), F.explode("_at").alias("_p"))
+    found = lookup_join(_found_names(texts, doc, text, keyed), keyed, "_name").select("_doc", "_entity", F.size(F.split("_name", " ")).alias("_n"), F.explode("_at").alias("_p"))
     spans = found.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct(F.col("_p").alias("p"), (-F.col("_n")).alias("m"), F.col("_entity").alias("e")))).alias("_spans"))
     start = F.struct(F.lit(0).alias("upto"), F.filter("_spans", lambda s: F.lit(False)).alias("kept"))
     fold = F.aggregate("_spans", start, lambda acc, s: F.when(s["p"] < acc["upto"], acc).otherwise(F.struct((s["p"] - s["m"]).alias("upto"), F.array_append(acc["kept"], s).alias("kept"))))
@@ -159,15 +160,16 @@ def unique_prefix(refs: DataFrame, ref: str, known: DataFrame, key: str, least:
 def nearest_interval(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, reach: int) -> DataFrame:
     """Each point with the distance to the nearest span of its key, 0 inside one, null beyond ``reach``.
 
-    A range join by slots of width ``reach``: a span covers the slots it touches and their
-    neighbours, a point looks into its own slot only, so the join is on (key, slot).
+    Two as-of joins: the largest end of all spans that began by then tells whether the point is
+    inside one and how far the last one is behind; the next start tells how far the next one is
+    ahead. So it doesn't matter how long a span is or how many overlap. Points with a null key or
+    time have a null distance; spans with a null key or bound, or an end before their start, are left out.
     """
-    slot = lambda c: F.floor(c / F.lit(reach)).cast("long")
-    covered = spans.select(
-        F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.sequence(slot(F.col(start)) - 1, slot(F.col(end)) + 1)).alias("_slot")
-    )
-    placed = points.withColumn("_pslot", slot(F.col(at)))
-    joined = placed.join(covered, (F.col(key) == F.col("_k")) & (F.col("_pslot") == F.col("_slot")), "left")
-    distance = F.greatest(F.lit(0), F.col("_s") - F.col(at), F.col(at) - F.col("_e"))
-    near = joined.withColumn("_d", F.when(F.col("_s").isNotNull() & (distance <= reach), distance))
-    return near.groupBy(*points.columns).agg(F.min("_d").alias("distance"))
+    valid = spans.where((F.col(end) >= F.col(start)) & F.col(key).isNotNull())
+    begun = valid.select(F.col(key).alias("_key"), F.col(start).alias("_when"), F.col(end).alias("_top"))
+    ahead = valid.select(F.col(key).alias("_key"), (-F.col(start)).alias("_when"), F.col(start).alias("_next"))
+    rows = points.withColumn("_key", F.col(key)).withColumn("_when", F.col(at))
+    rows = last_before(rows, begun, "_key", "_when", "_top", "_top", largest=True)
+    rows = last_before(rows.withColumn("_when", -F.col(at)), ahead, "_key", "_when", "_next", "_next")
+    distance = F.when(F.col("_top") >= F.col(at), F.lit(0)).otherwise(F.least(F.col(at) - F.col("_top"), F.col("_next") - F.col(at)))
+    return rows.select(*points.columns, F.when(distance <= reach, distance).alias("distance"))

@@ -95,10 +95,10 @@ def recency_weight(rows: DataFrame, at: str, steps: Sequence[tuple[int, float]],
     return rows.withColumn(out, weight)
 
 
-def last_before(points: DataFrame, events: DataFrame, key: str, at: str, value: str, out: str = "last") -> DataFrame:
+def last_before(points: DataFrame, events: DataFrame, key: str, at: str, value: str, out: str = "last", largest: bool = False) -> DataFrame:
     """As-of join: each point with the ``value`` of its key's last event at or before it, null where there is none.
 
-    Of events at one time the largest value counts. Points and events are numbered together by key
+    With ``largest`` it is the largest value of all events up to then. Of events at one time the largest value counts. Points and events are numbered together by key
     and time; blocks of a key carry their last value over to the next, so a hot key is many tasks.
     Points with a null key or time have a null result and are kept.
     """
@@ -108,10 +108,12 @@ def last_before(points: DataFrame, events: DataFrame, key: str, at: str, value:
     asked = points.where(valid).select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(1).alias("_point"), F.lit(None).cast(happened.schema["_value"].dataType).alias("_value"), F.struct(*points.columns).alias("_row"))
     rows = numbered_per_key(both.unionByName(asked), "_k", ["_at", "_point"], "_n").withColumn("_block", F.expr(f"(_n - 1) div {BLOCK}"))
     rows = Scratch(points.sparkSession, "asof").save(rows)
-    carried = rows.groupBy("_k", "_block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_n"))).alias("_carry"))
+    of_block = F.max("_value") if largest else F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_n")))
+    running = (lambda c, w: F.max(c).over(w)) if largest else (lambda c, w: F.last(c, ignorenulls=True).over(w))
+    carried = rows.groupBy("_k", "_block").agg(of_block.alias("_carry"))
     earlier = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select("_k", "_block", F.last("_carry", ignorenulls=True).over(earlier).alias("_carry"))
+    carried = carried.select("_k", "_block", running("_carry", earlier).alias("_carry"))
     here = Window.partitionBy("_k", "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.join(carried, ["_k", "_block"]).withColumn("_last", F.coalesce(F.last("_value", ignorenulls=True).over(here), F.col("_carry"))).where("_point = 1")
+    found = rows.join(carried, ["_k", "_block"]).withColumn("_last", F.greatest(running("_value", here), F.col("_carry")) if largest else F.coalesce(running("_value", here), F.col("_carry"))).where("_point = 1")
     done = found.select("_row.*", F.col("_last").alias(out))
     return done.unionByName(points.where(~F.coalesce(valid, F.lit(False))).withColumn(out, F.lit(None).cast(happened.schema["_value"].dataType)))

@@ -40,11 +40,22 @@ def version_diff(before: DataFrame, after: DataFrame, key: str, values: Sequence
     return joined.select(F.coalesce("_k", "_k2").alias(key), change.alias("change")).where("change IS NOT NULL")
 
 
-def filtered_or_all(df: DataFrame, keep: Column, key: str) -> DataFrame:
-    """The rows of each ``key`` for which ``keep`` holds; all rows of a key, with ``fell_back``, where it holds for none."""
-    hits = df.groupBy(key).agg(F.max(F.coalesce(keep, F.lit(False))).alias("_any"))
-    joined = df.join(hits.select(F.col(key).alias("_key"), "_any"), F.col(key).eqNullSafe(F.col("_key")), "left")
-    return joined.where(F.coalesce(keep, F.lit(False)) | ~F.col("_any")).withColumn("fell_back", ~F.col("_any")).drop("_any", "_key")
+def filtered_or_all(df: DataFrame, keep: Column, key: str, untagged: bool = False) -> DataFrame:
+    """The rows of each ``key`` for which ``keep`` holds; all rows of a key, with ``fell_back``, where it holds for none.
+
+    Rows without key are a group of their own, whose answer is one number; with ``untagged`` they
+    are kept whatever holds. Keys that own many rows are joined where they lie.
+    """
+    keep = F.coalesce(keep, F.lit(False))
+    keyed, keyless = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
+    hits = keyed.where(keep).select(F.col(key).alias("_key")).distinct().withColumn("_any", F.lit(True))
+    joined = lookup_join(keyed.withColumn("_key", F.col(key)), hits, "_key", "left").withColumn("fell_back", F.col("_any").isNull())
+    named = joined.where(keep | F.col("fell_back")).drop("_any", "_key")
+    if untagged:
+        return named.unionByName(keyless.withColumn("fell_back", F.lit(False)))
+    some = not keyless.where(keep).isEmpty()
+    rest = keyless.where(keep) if some else keyless
+    return named.unionByName(rest.withColumn("fell_back", F.lit(not some)))
 
 
 def pending(items: DataFrame, key: str, *done: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import columns as C
-from skeinflow.functions.text import trimmed
 from skeinflow.operators import graph, matching, ranking, sequences, sets
-from skeinflow.plans.messages import MESSAGES, config_in_force
+from skeinflow.operators.skew import sieve
+from skeinflow.plans import messages
+from skeinflow.plans.messages import DISTINCT, config_in_force
 from skeinflow.plans.normalising import KEY
 from skeinflow.plans.relational import entity_inventory, merge_targets, relationship_edges
 from skeinflow.plans.relational_sql import SQL as _OTHERS
@@ -21,6 +22,7 @@ def _n(name: str):
 
 def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weighted score of each segment from its anchors, size, label and track; without any anchor or label capped."""
+    # The weights of the score.
     anchors = F.size(F.coalesce("anchor_entities", F.array().cast("array<string>")))
     signal = (anchors > 0) | F.col("topic_label").isNotNull()
     total = F.lit(0.34) * (anchors > 0).cast("int") + F.least(F.lit(0.36), F.lit(0.12) * anchors) + F.lit(0.12) * F.col("topic_label").isNotNull().cast("int") + F.lit(0.1) * (F.col("message_count") >= 8).cast("int") - F.lit(0.16) * F.coalesce((F.col("track") == "meta").cast("int"), F.lit(0))
@@ -69,11 +71,16 @@ def entity_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quoted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted phrases of claims and whether one of the cited texts has them."""
-    rows = table(spark, sf_dir, "claims").where(F.contains("claim_text", F.lit('"'))).where(~F.ltrim("claim_text").startswith("{"))
+    """Quoted phrases of claims and whether one of the cited texts has them, letter case ignored.
+
+    Phrases go to the documents: only texts that are cited by a claim with a quotation leave their task.
+    """
+    rows = table(spark, sf_dir, "claims").where(F.contains("claim_text", F.lit('"')))
     phrases = rows.select("claim_id", "source_snippet_ids", F.explode(F.array_distinct(F.regexp_extract_all("claim_text", F.lit('"([^"]+)"'), 1))).alias("phrase"))
-    texts = table(spark, sf_dir, "documents").select("snippet_id", F.lower("text").alias("text"))
-    cited = phrases.select("claim_id", "phrase", F.explode_outer("source_snippet_ids").alias("snippet_id")).join(texts, "snippet_id", "left")
+    asked = phrases.select("claim_id", "phrase", F.explode_outer("source_snippet_ids").alias("snippet_id"))
+    wanted = sieve(asked, "snippet_id")
+    texts = table(spark, sf_dir, "documents").where(wanted(F.col("snippet_id"))).select("snippet_id", F.lower("text").alias("text"))
+    cited = asked.join(texts, "snippet_id", "left")
     return cited.groupBy("claim_id", "phrase").agg(F.coalesce(F.bool_or(F.contains("text", F.lower("phrase"))), F.lit(False)).alias("supported"))
 
 
@@ -94,9 +101,9 @@ def running_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def owner_before_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The owner's last message in the pair at or before each segment's start."""
     owner = config_in_force(spark, sf_dir)["self_user_id"]
-    said = table(spark, sf_dir, MESSAGES).where((F.col("author_id") == owner) & F.col("timestamp_utc").isNotNull()).select("dm_pair_id", F.unix_micros("timestamp_utc").alias("us"), trimmed(F.col("message_id")).alias("message_id"))
+    by_owner = messages.said(spark, sf_dir).where((F.col("author_id") == owner) & F.col("us").isNotNull()).select("dm_pair_id", "us", "message_id")
     points = table(spark, sf_dir, "conversation_segments").select("conversation_id", "dm_pair_id", F.unix_micros("timestamp_start_utc").alias("us"))
-    return sequences.last_before(points, said, "dm_pair_id", "us", "message_id", "owner_message").select("conversation_id", "owner_message")
+    return sequences.last_before(points, by_owner, "dm_pair_id", "us", "message_id", "owner_message").select("conversation_id", "owner_message")
 
 
 def inventory_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,16 +155,16 @@ SQL = {
     "recent_history": "SELECT target_entity_id, claim_id, rank FROM (SELECT target_entity_id, claim_id, row_number() OVER (PARTITION BY target_entity_id ORDER BY created_at_utc DESC NULLS LAST, claim_id) AS rank FROM claims WHERE target_entity_id IS NOT NULL) WHERE rank <= 3",
     "entity_priorities": f"""WITH c AS (SELECT target_entity_id AS entity_id, count(*) AS claims, sum(coalesce(len(source_snippet_ids), 0)) AS evidence, count(*) FILTER (status = 'rejected') AS rejected FROM claims WHERE target_entity_id IS NOT NULL GROUP BY 1),
       e AS (SELECT entity_id, count(*) AS edges FROM ({_OTHERS['relationship_edges']}) GROUP BY 1) SELECT entity_id, CAST(evidence + 6 * rejected + 3 * coalesce(edges, 0) + claims AS BIGINT) AS priority FROM c LEFT JOIN e USING (entity_id) ORDER BY 2 DESC, 1 LIMIT 100""",
-    "quoted_evidence": """WITH p AS (SELECT claim_id, source_snippet_ids, unnest(list_distinct(regexp_extract_all(claim_text, '"([^"]+)"', 1))) AS phrase FROM claims WHERE contains(claim_text, '"') AND NOT starts_with(ltrim(claim_text), '{')),
+    "quoted_evidence": """WITH p AS (SELECT claim_id, source_snippet_ids, unnest(list_distinct(regexp_extract_all(claim_text, '"([^"]+)"', 1))) AS phrase FROM claims WHERE contains(claim_text, '"')),
       s AS (SELECT claim_id, phrase, unnest(source_snippet_ids) AS snippet_id FROM p)
       SELECT p.claim_id, p.phrase, coalesce(bool_or(contains(lower(d.text), lower(p.phrase))), false) AS supported FROM p LEFT JOIN s ON s.claim_id = p.claim_id AND s.phrase = p.phrase LEFT JOIN documents d ON d.snippet_id = s.snippet_id GROUP BY 1, 2""",
     "distinct_segments": "SELECT min(conversation_id) AS conversation_id, count(*) AS copies FROM conversation_segments GROUP BY array_to_string(list_sort(message_ids), ',')",
     "running_confidence": f"""WITH k AS (SELECT {KEY % 'candidate_name'} AS key, confidence, row_number() OVER (PARTITION BY {KEY % 'candidate_name'} ORDER BY first_seen_timestamp_utc NULLS FIRST, candidate_id) AS n FROM entity_candidates)
       SELECT key, round(max(least(1.0::DOUBLE, coalesce(confidence, 0) + least(0.2::DOUBLE, 0.03::DOUBLE * n))), 4) AS confidence, max(n) AS candidates FROM k WHERE key <> '' GROUP BY 1""",
-    "owner_before_segment": f"""WITH o AS (SELECT dm_pair_id, epoch_us(timestamp_utc) AS us, max(trim(message_id, ' ')) AS m FROM {MESSAGES} WHERE author_id = {_OWNER} AND timestamp_utc IS NOT NULL GROUP BY 1, 2),
+    "owner_before_segment": f"""WITH o AS (SELECT dm_pair_id, us, max(message_id) AS m FROM {DISTINCT} WHERE author_id = {_OWNER} AND us IS NOT NULL GROUP BY 1, 2),
       s AS (SELECT conversation_id, dm_pair_id, epoch_us(timestamp_start_utc) AS us FROM conversation_segments)
       SELECT conversation_id, m AS owner_message FROM s LEFT JOIN (SELECT s.conversation_id AS c, max_by(o.m, o.us) AS m FROM s JOIN o ON o.dm_pair_id = s.dm_pair_id AND o.us <= s.us GROUP BY 1) ON c = conversation_id""",
-    "merged_claims": f"""WITH t AS ({_OTHERS['merge_targets']}) SELECT claim_id, coalesce(t.final, target_entity_id) AS target_entity_id, target_entity_id AS original_target_entity_id
+    "merged_claims": f"""{_OTHERS['merge_targets'].replace('SELECT s AS source_entity_id', ', t AS (SELECT s AS source_entity_id', 1)}) SELECT claim_id, coalesce(t.final, target_entity_id) AS target_entity_id, target_entity_id AS original_target_entity_id
       FROM claims LEFT JOIN t ON t.source_entity_id = target_entity_id WHERE target_entity_id IS NOT NULL""",
     "inventory_page": f"SELECT entity_id, entity_type, documents FROM ({_OTHERS['entity_inventory']}) WHERE bucket = 'ready' ORDER BY documents DESC, entity_id LIMIT 50",
     "visible_graph": f"WITH e AS (SELECT * FROM ({_OTHERS['relationship_edges']}) ORDER BY evidence DESC, entity_id, target, relation NULLS FIRST LIMIT 50) SELECT node, count(*) AS edges FROM (SELECT entity_id AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1",

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import columns as C
-from skeinflow.functions.text import trimmed
 from skeinflow.operators import graph, matching, ranking, scoring, sequences, sets
+from skeinflow.operators.sessions import session_numbers
 from skeinflow.operators.skew import lookup_join
+from skeinflow.plans import messages
 from skeinflow.plans.messages import MESSAGES, config_in_force
 from skeinflow.plans.relational_sql import SQL  # noqa: F401
 from skeinflow.runtime import table
@@ -73,11 +74,19 @@ def thread_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("dm_pair_id", state.alias("partner")).agg(_n("rows"))
 
 
+def segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment's messages in order, with what the segment says about them; an id listed twice counts once."""
+    listed = table(spark, sf_dir, "conversation_segments").select("conversation_id", "track", "topic_label", F.explode(F.array_distinct("message_ids")).alias("message_id"))
+    found = listed.join(messages.said(spark, sf_dir).where("conversation_id IS NOT NULL"), ["conversation_id", "message_id"])
+    placed = ranking.numbered_per_key(found.select("conversation_id", "track", "topic_label", "thread_id", "message_id", "us", "copies"), "conversation_id", ["us", "message_id", "thread_id"], "place")
+    return placed.select("conversation_id", "track", "topic_label", "thread_id", "message_id", "copies", "place")
+
+
 def segment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listed messages of each segment with their place in the list and how often they were delivered."""
-    listed = table(spark, sf_dir, "conversation_segments").select("conversation_id", F.posexplode("message_ids").alias("place", "message_id")).dropDuplicates(["conversation_id", "message_id"])
-    delivered = table(spark, sf_dir, MESSAGES).groupBy("conversation_id", trimmed(F.col("message_id")).alias("message_id")).agg(_n("deliveries"))
-    return listed.join(delivered, ["conversation_id", "message_id"]).groupBy("conversation_id").agg(_n("found"), F.sum("deliveries").alias("deliveries"))
+    """How many of its listed messages each segment has, and how often they were delivered."""
+    listed = table(spark, sf_dir, "conversation_segments").select("conversation_id", F.explode("message_ids").alias("message_id")).distinct()
+    delivered = messages.said(spark, sf_dir).select("conversation_id", "message_id", "copies")
+    return listed.join(delivered, ["conversation_id", "message_id"]).groupBy("conversation_id").agg(_n("found"), F.sum("copies").alias("deliveries"))
 
 
 def unsegmented_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,34 +305,48 @@ def segment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.without_overlap(rows, "dm_pair_id", "start_us", "end_us", "conversation_id").select("conversation_id", "start_us", "end_us", "trimmed")
 
 
+def _in_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.said(spark, sf_dir).where("conversation_id IS NOT NULL").select("conversation_id", "thread_id", "message_id", "us", "text")
+
+
 def message_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct messages with the digest of the five messages around each in its conversation."""
-    rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", trimmed(F.col("message_id")).alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.coalesce("content_normalized", F.lit(""))).alias("text"))
-    return sequences.context(rows, "conversation_id", ["us", "message_id"], "text", 5).select("conversation_id", "message_id", F.md5("context").alias("context_md5"))
+    around = sequences.context(_in_conversations(spark, sf_dir), "conversation_id", ["us", "message_id", "thread_id"], "text", 5)
+    return around.select("conversation_id", "thread_id", "message_id", F.md5("context").alias("context_md5"))
 
 
 def conversation_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first messages of each conversation, up to eight and 400 characters."""
-    rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", trimmed(F.col("message_id")).alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.coalesce("content_normalized", F.lit(""))).alias("text"))
-    kept = ranking.budget_prefix(rows, "conversation_id", ["us", "message_id"], "text", 8, 400)
+    kept = ranking.budget_prefix(_in_conversations(spark, sf_dir), "conversation_id", ["us", "message_id", "thread_id"], "text", 8, 400)
     return kept.select("conversation_id", "message_id", F.col("place").cast("long").alias("place"), "kept_chars")
 
 
 def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation cut into windows that a model takes: rows and characters bounded as configured."""
+    """Each pair's sessions cut into windows that a model takes: rows and characters bounded as configured.
+
+    A message counts at least one character. The fold runs within sessions, so a pair with most of
+    the rows is as many keys as it has sessions.
+    """
     config = config_in_force(spark, sf_dir)
-    rows = table(spark, sf_dir, MESSAGES).where("conversation_id IS NOT NULL").groupBy("conversation_id", trimmed(F.col("message_id")).alias("message_id")).agg(F.min(F.unix_micros("timestamp_utc")).alias("us"), F.max(F.length(F.coalesce("content_normalized", F.lit("")))).cast("long").alias("chars"))
-    parts = sequences.greedy_chunks(rows, ["conversation_id"], ["us", "message_id"], "chars", config["model_window_max_messages"], config["model_window_max_chars"])
-    return parts.groupBy("conversation_id", "part_no").agg(_n("messages"), F.sum("chars").alias("chars"))
+    rows = messages.said(spark, sf_dir).select("dm_pair_id", "timestamp_utc", "us", "message_id", "thread_id", F.greatest(F.length("text"), F.lit(1)).cast("long").alias("chars"))
+    rows = session_numbers(rows, "dm_pair_id", "timestamp_utc", round(config["max_gap_hours"] * 3_600_000_000)).drop("timestamp_utc")
+    parts = sequences.greedy_chunks(rows, ["dm_pair_id", "session_no"], ["us", "message_id", "thread_id"], "chars", config["model_window_max_messages"], config["model_window_max_chars"])
+    return parts.groupBy("dm_pair_id", "session_no", "part_no").agg(_n("messages"), F.sum("chars").alias("chars"))
+
+
+def last_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source_entity_id, target_entity_id``: of several accepted merges of one entity the last one counts (then the larger proposal id)."""
+    moves = table(spark, sf_dir, "identity_merges").where("source_entity_id <> target_entity_id")
+    latest = F.struct(F.unix_micros("created_at_utc").alias("at"), "proposal_id")
+    return moves.groupBy("source_entity_id").agg(F.max_by("target_entity_id", latest).alias("target_entity_id"))
 
 
 def merge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each merged entity's chain of accepted merges ends; null for those that run in or into a cycle.
 
-    Pairs of an entity with itself are no merges. Of several targets of one source the smallest counts.
+    Pairs of an entity with itself are no merges.
     """
-    moves = table(spark, sf_dir, "identity_merges").where("source_entity_id <> target_entity_id").groupBy("source_entity_id").agg(F.min("target_entity_id").alias("target_entity_id"))
-    return graph.final_targets(moves, "source_entity_id", "target_entity_id")
+    return graph.final_targets(last_merges(spark, sf_dir), "source_entity_id", "target_entity_id")
 
 
 def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,16 +399,16 @@ def period_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of users by Spark's own session windows: 30 minutes without event end one."""
+    """Sessions of users by Spark's own session windows: a pause of more than 30 minutes ends one."""
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    by = rows.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(_n("events"), F.max(F.unix_micros("ts")).alias("last_us"))
+    by = rows.groupBy("user_id", F.session_window("ts", "30 minutes 1 microsecond")).agg(_n("events"), F.max(F.unix_micros("ts")).alias("last_us"))
     return by.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "last_us", "events")
 
 
 QUERIES = {
     f.__name__: f
     for f in [
-        timeline_statistics, timeline_index, batch_selection, global_sequence, account_owner, last_labels, conversation_partners, thread_identity, segment_messages, unsegmented_conversations,
+        timeline_statistics, timeline_index, batch_selection, global_sequence, account_owner, last_labels, conversation_partners, thread_identity, segment_rows, segment_messages, unsegmented_conversations,
         segment_distance, claim_targets, entity_mentions, claim_clusters, snippet_support, tag_pairs, type_votes, candidate_groups, candidate_recency, candidate_triage, latest_claims, undecided_claims,
         targets_with_seeds, entity_inventory, claim_rankings, top_documents, segment_sequences, review_turns, known_names, seed_changes, confident_claims, source_quality, validated_claims, tag_activation,
         target_tags, claim_duplicates, claim_attention, alias_owners, seed_majorities, cited_snippets, segment_spans, message_context, conversation_openings, model_windows, merge_targets,

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from skeinflow.plans.messages import DISTINCT, GAP_US
 from skeinflow.plans.messages import MESSAGES as M
 from skeinflow.plans.normalising import CLEAN, KEY
 
 _SEEDS = "(SELECT DISTINCT entity_id, canonical_name, entity_type, seed_status FROM entity_seed)"
 _ALIAS = "(SELECT entity_id, entity_type, unnest(aliases) AS alias FROM entity_seed)"
 _CONFIG = "(SELECT {} FROM pipeline_config WHERE enabled AND section = 'conversation_segmentation' ORDER BY config_id LIMIT 1)"
-_MSG = f"""(SELECT conversation_id, trim(message_id, ' ') AS message_id, min(epoch_us(timestamp_utc)) AS us, max(coalesce(content_normalized, '')) AS text
-  FROM {M} WHERE conversation_id IS NOT NULL GROUP BY 1, 2)"""
+_MSG = f"(SELECT * FROM {DISTINCT} WHERE conversation_id IS NOT NULL)"
 
 _NEAR = f"""
 WITH p AS (SELECT dm_pair_id, CAST(floor(epoch_us(timestamp_utc) / 1000000) AS BIGINT) AS at, count(*) AS rows FROM {M} WHERE timestamp_utc IS NOT NULL AND dm_pair_id IS NOT NULL GROUP BY 1, 2),
@@ -63,9 +63,18 @@ WITH s AS (SELECT conversation_id, dm_pair_id, epoch_us(timestamp_start_utc) AS
 u AS (SELECT *, max(b) OVER (PARTITION BY dm_pair_id ORDER BY a, b DESC, conversation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM s)
 SELECT conversation_id, CASE WHEN a <= upto THEN upto + 1 ELSE a END AS start_us, b AS end_us, coalesce(a <= upto, false) AS trimmed FROM u WHERE upto IS NULL OR b > upto"""
 _OPENING = f"""
-WITH r AS (SELECT *, row_number() OVER w AS place, sum(length(text)) OVER (w ROWS UNBOUNDED PRECEDING) - length(text) AS before FROM {_MSG} WINDOW w AS (PARTITION BY conversation_id ORDER BY us NULLS FIRST, message_id))
+WITH r AS (SELECT *, row_number() OVER w AS place, sum(length(text)) OVER (w ROWS UNBOUNDED PRECEDING) - length(text) AS before FROM {_MSG} WINDOW w AS (PARTITION BY conversation_id ORDER BY us NULLS FIRST, message_id, thread_id))
 SELECT conversation_id, message_id, place, CAST(least(length(text), 400 - before) AS BIGINT) AS kept_chars FROM r WHERE place <= 8 AND before < 400"""
-_MOVES = "(SELECT source_entity_id AS s, min(target_entity_id) AS t FROM identity_merges WHERE source_entity_id IS NOT NULL AND target_entity_id IS NOT NULL GROUP BY 1 HAVING s < min(target_entity_id))"
+_MOVES = "(SELECT source_entity_id AS s, arg_max(target_entity_id, (created_at_utc, proposal_id)) AS t FROM identity_merges WHERE source_entity_id <> target_entity_id GROUP BY 1)"
+_WINDOWS = f"""
+WITH RECURSIVE g AS (SELECT dm_pair_id, thread_id, message_id, us, greatest(length(text), 1) AS chars, CASE WHEN us - lag(us) OVER (PARTITION BY dm_pair_id ORDER BY us) <= {GAP_US} THEN 0 ELSE 1 END AS opens
+  FROM {DISTINCT} WHERE us IS NOT NULL AND dm_pair_id IS NOT NULL),
+n AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY dm_pair_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY dm_pair_id, session_no ORDER BY us, message_id, thread_id) AS i FROM n),
+f AS (SELECT dm_pair_id, session_no, i, 1 AS part_no, 1 AS held, chars AS total, chars FROM o WHERE i = 1
+  UNION ALL SELECT o.dm_pair_id, o.session_no, o.i, CASE WHEN x.cut THEN part_no + 1 ELSE part_no END, CASE WHEN x.cut THEN 1 ELSE held + 1 END, CASE WHEN x.cut THEN o.chars ELSE total + o.chars END, o.chars
+  FROM (SELECT f.*, c.m, c.k FROM f, {_CONFIG.format('model_window_max_messages AS m, model_window_max_chars AS k')} c) f JOIN o ON o.dm_pair_id = f.dm_pair_id AND o.session_no = f.session_no AND o.i = f.i + 1, LATERAL (SELECT f.held >= f.m OR f.total + o.chars > f.k AS cut) x)
+SELECT dm_pair_id, session_no, CAST(part_no AS BIGINT) AS part_no, count(*) AS messages, CAST(sum(chars) AS BIGINT) AS chars FROM f GROUP BY 1, 2, 3"""
 _EDGES = f"""
 WITH s AS (SELECT DISTINCT entity_id, canonical_name, relationship_hints FROM entity_seed), h AS (SELECT entity_id, unnest(relationship_hints) AS h FROM s),
 n AS (SELECT {KEY % 'canonical_name'} AS key, min(entity_id) AS target_id FROM s GROUP BY 1),
@@ -83,8 +92,10 @@ SQL = {
       SELECT conversation_id, author_id, count(*) AS rows FROM {M} WHERE conversation_id IS NOT NULL AND author_id <> {_CONFIG.format('self_user_id')} GROUP BY 1, 2)) WHERE n = 1""",
     "thread_identity": f"""WITH k AS (SELECT thread_id, min(partner_id) AS p FROM {M} WHERE partner_id <> 'unknown' GROUP BY 1)
       SELECT dm_pair_id, CASE WHEN p IS NULL THEN 'none' WHEN partner_id IS NOT DISTINCT FROM p THEN 'same' ELSE 'filled' END AS partner, count(*) AS rows FROM {M} LEFT JOIN k USING (thread_id) GROUP BY 1, 2""",
-    "segment_messages": f"""WITH l AS (SELECT DISTINCT conversation_id, unnest(message_ids) AS message_id FROM conversation_segments), d AS (SELECT conversation_id, trim(message_id, ' ') AS message_id, count(*) AS n FROM {M} GROUP BY 1, 2)
-      SELECT conversation_id, count(*) AS found, CAST(sum(n) AS BIGINT) AS deliveries FROM l JOIN d USING (conversation_id, message_id) GROUP BY 1""",
+    "segment_rows": f"""WITH l AS (SELECT DISTINCT conversation_id, track, topic_label, unnest(message_ids) AS message_id FROM conversation_segments)
+      SELECT conversation_id, track, topic_label, thread_id, message_id, copies, row_number() OVER (PARTITION BY conversation_id ORDER BY us NULLS FIRST, message_id, thread_id) AS place FROM l JOIN {_MSG} USING (conversation_id, message_id)""",
+    "segment_messages": f"""WITH l AS (SELECT DISTINCT conversation_id, unnest(message_ids) AS message_id FROM conversation_segments)
+      SELECT conversation_id, count(*) AS found, CAST(sum(copies) AS BIGINT) AS deliveries FROM l JOIN {_MSG} USING (conversation_id, message_id) GROUP BY 1""",
     "unsegmented_conversations": f"SELECT conversation_id, count(*) AS rows FROM {M} WHERE conversation_id IS NOT NULL AND conversation_id NOT IN (SELECT conversation_id FROM conversation_segments WHERE conversation_id IS NOT NULL) GROUP BY 1",
     "segment_distance": _NEAR + "SELECT dm_pair_id, CASE WHEN d = 0 THEN 'inside' WHEN d <= 10800 THEN 'near' ELSE 'far' END AS kind, CAST(sum(rows) AS BIGINT) AS rows FROM d GROUP BY 1, 2",
     "claim_targets": _TARGETS,
@@ -132,10 +143,11 @@ SQL = {
       d AS (SELECT snippet_id, unnest([length(snippet_id), length(snippet_id) - 1, length(snippet_id) - 2, length(snippet_id) - 3, length(snippet_id) - 4]) AS n FROM documents)
       SELECT ref, min(snippet_id) AS snippet_id FROM r JOIN d ON ref = substr(snippet_id, 1, CAST(n AS BIGINT)) WHERE length(ref) >= 6 GROUP BY 1 HAVING count(DISTINCT snippet_id) = 1""",
     "segment_spans": _SPANS,
-    "message_context": f"""SELECT conversation_id, message_id, md5(array_to_string(list(text) OVER (PARTITION BY conversation_id ORDER BY us NULLS FIRST, message_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), chr(10))) AS context_md5 FROM {_MSG}""",
+    "message_context": f"""SELECT conversation_id, thread_id, message_id, md5(array_to_string(list(text) OVER (PARTITION BY conversation_id ORDER BY us NULLS FIRST, message_id, thread_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), chr(10))) AS context_md5 FROM {_MSG}""",
     "conversation_openings": _OPENING,
-    "merge_targets": f"""WITH RECURSIVE m AS {_MOVES}, c AS (SELECT s, t, 1 AS hops FROM m UNION ALL SELECT c.s, m.t, hops + 1 FROM c JOIN m ON m.s = c.t)
-      SELECT s AS source_entity_id, t AS final, CAST(hops AS BIGINT) AS hops FROM c WHERE t NOT IN (SELECT s FROM m)""",
+    "model_windows": _WINDOWS,
+    "merge_targets": f"""WITH RECURSIVE m AS {_MOVES}, c AS (SELECT s, t, [s] AS seen FROM m UNION ALL SELECT c.s, m.t, list_append(seen, c.t) FROM c JOIN m ON m.s = c.t WHERE NOT list_contains(seen, c.t))
+      SELECT s AS source_entity_id, t AS final, CAST(hops AS BIGINT) AS hops FROM (SELECT m.s, e.t, e.hops FROM m LEFT JOIN (SELECT s, t, len(seen) AS hops FROM c WHERE t NOT IN (SELECT s FROM m)) e USING (s))""",
     "identity_components": """WITH RECURSIVE p AS (SELECT source_entity_id AS a, target_entity_id AS b FROM identity_merges WHERE source_entity_id <> target_entity_id), d AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
       r AS (SELECT a AS v, least(a, b) AS low FROM d UNION SELECT d.b, r.low FROM r JOIN d ON d.a = r.v) SELECT v AS vertex, min(low) AS component FROM r GROUP BY 1""",
     "relationship_edges": _EDGES + "SELECT entity_id, target, relation, evidence FROM g",
@@ -149,6 +161,6 @@ SQL = {
       UNION ALL SELECT 'claims', claim_id, substr({CLEAN % "coalesce(claim_text, '')"}, 1, 60) FROM claims WHERE status = 'accepted'
       UNION ALL SELECT 'conversations', conversation_id, coalesce(topic_label, 'untitled') FROM conversation_segments""",
     "period_comparison": "SELECT CASE WHEN created_at_utc < TIMESTAMPTZ '2025-01-01 00:00:00+00' THEN 'before' ELSE 'after' END AS period, knowledge_track, count(*) AS claims, count(DISTINCT target_entity_id) AS targets, round(avg(confidence), 4) AS confidence FROM claims WHERE created_at_utc IS NOT NULL GROUP BY 1, 2",
-    "event_sessions": """WITH f AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS opens FROM events),
+    "event_sessions": """WITH f AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800000000 THEN 0 ELSE 1 END AS opens FROM events),
       s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS no FROM f) SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS events FROM s GROUP BY user_id, no""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -57,10 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one where it is unset and all tasks run in this process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="skeinflow-")
@@ -70,6 +73,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 _BASES: dict[str, list[str]] = {}
 
 
+@atexit.register
+def _clear_at_exit() -> None:
+    """What is left in the shared folder when the driver ends; a folder that can't be reached any more stays."""
+    spark = SparkSession.getActiveSession() if _BASES else None
+    if spark is not None:
+        try:
+            clear_scratch(spark)
+        except Exception:
+            pass
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application's operators left in the shared folder. Results not yet written can't be read afterwards."""
     for base in _BASES.pop(spark.sparkContext.applicationId, []):

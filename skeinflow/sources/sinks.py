@@ -25,64 +25,117 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()) if exists(spark, path) else None
 
 
-def _replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file and move it into place."""
-    jvm = spark._jvm
+def _put_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """A small file, written beside its place and moved there in one step: readers see the old one, the new one, never none.
+
+    Without ``replace`` a file that is there already makes it fail.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(fresh, True)
+    out = target.getFileSystem(conf).create(fresh, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(fresh, target):
-        raise OSError(f"can't move {fresh} to {path}")
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE if replace else getattr(kind, "NONE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(fresh, target, options)
+
+
+def write_document(spark: SparkSession, path: str, payload) -> None:
+    """One small JSON document, replaced in one step."""
+    _put_text(spark, path, json.dumps(payload, ensure_ascii=False, indent=1))
 
 
 class VersionedTable:
-    """Parquet versions in folders of their own and a pointer to the one in force.
+    """Parquet parts in folders of their own, and numbered versions that list the parts in force.
 
-    A new version is written whole before the pointer moves, so readers see the old or the new
-    one, and ``undo`` moves it back.
+    Parts are written whole before a version names them, so readers see the old or the new version.
+    ``append`` adds a part and rewrites nothing. Version files are never replaced: of two writers that
+    begin from the same version the second one fails instead of undoing the first.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self) -> dict:
-        text = _read_text(self.spark, f"{self.root}/current.json")
-        return json.loads(text) if text else {"current": None, "earlier": []}
+    def _versions(self) -> list[int]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
 
-    def _move(self, pointer: dict) -> None:
-        _replace_text(self.spark, f"{self.root}/current.json", json.dumps(pointer))
+    def _latest(self) -> tuple[int, dict]:
+        numbers = self._versions()
+        if not numbers:
+            return 0, {"parts": [], "before": None}
+        return numbers[-1], self._version(numbers[-1])
 
-    def read(self) -> DataFrame:
-        now = self._pointer()["current"]
-        if now is None:
-            raise FileNotFoundError(f"{self.root} has no version")
-        return self.spark.read.parquet(f"{self.root}/{now}")
+    def _version(self, number: int) -> dict:
+        return json.loads(_read_text(self.spark, f"{self.root}/versions/{number:08}.json"))
+
+    def _publish(self, after: int, version: dict) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        _put_text(self.spark, f"{self.root}/versions/{after + 1:08}.json", json.dumps(version), replace=False)
 
-    def write(self, df: DataFrame) -> str:
-        name, pointer = f"v-{uuid.uuid4().hex}", self._pointer()
+    def _part(self, df: DataFrame) -> str:
+        name = f"part-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}")
-        earlier = [*pointer["earlier"], pointer["current"]] if pointer["current"] else pointer["earlier"]
-        self._move({"current": name, "earlier": earlier})
         return name
 
+    def read(self) -> DataFrame:
+        parts = self._latest()[1]["parts"]
+        if not parts:
+            raise FileNotFoundError(f"{self.root} has no version")
+        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*[f"{self.root}/{p}" for p in parts])
+
+    def write(self, df: DataFrame) -> None:
+        """A version of these rows alone."""
+        now, _ = self._latest()
+        self._publish(now, {"parts": [self._part(df)], "before": now or None})
+
+    def append(self, df: DataFrame) -> None:
+        """A version with these rows added."""
+        now, version = self._latest()
+        self._publish(now, {"parts": [*version["parts"], self._part(df)], "before": now or None})
+
     def undo(self) -> None:
-        pointer = self._pointer()
-        if not pointer["earlier"]:
+        """The version before the one in force, as a new version."""
+        now, version = self._latest()
+        if not version["before"]:
             raise ValueError("there is no earlier version")
-        self._move({"current": pointer["earlier"][-1], "earlier": pointer["earlier"][:-1]})
+        self._publish(now, self._version(version["before"]))
 
     def upsert(self, changes: DataFrame, key: str, order: Sequence[str]) -> dict[str, int]:
         """Rows of ``changes`` replace those of the same key; counts of what was updated and added."""
         now = self.read()
-        known = now.select(key).distinct()
-        fresh = changes.select(key).distinct()
-        updated = fresh.join(known, key, "left_semi").count()
-        added = fresh.count() - updated
+        known = now.select(F.col(key).alias("_k")).distinct().withColumn("_known", F.lit(1))
+        fresh = changes.select(F.col(key).alias("_k")).distinct().join(known, "_k", "left")
+        counts = fresh.agg(F.count(F.lit(1)).alias("n"), F.count("_known").alias("updated")).collect()[0]
         self.write(upsert(now, changes, key, order))
-        return {"updated": updated, "added": added}
+        return {"updated": counts["updated"], "added": counts["n"] - counts["updated"]}
+
+
+class Transaction:
+    """Writes to several versioned tables that hold together: if one fails, those done before it are undone."""
+
+    def __init__(self) -> None:
+        self.done: list[VersionedTable] = []
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def write(self, target: VersionedTable, df: DataFrame) -> None:
+        target.write(df)
+        self.done.append(target)
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is not None:
+            self.rollback()
+
+    def rollback(self) -> None:
+        """Also for undoing a finished transaction: its tables go back to the versions before it."""
+        while self.done:
+            self.done.pop().undo()
 
 
 def view(spark: SparkSession, path: str, sources: dict[str, str], build) -> DataFrame:
@@ -93,7 +146,7 @@ def view(spark: SparkSession, path: str, sources: dict[str, str], build) -> Data
     stamp = json.dumps(sources, sort_keys=True)
     if _read_text(spark, f"{path}.sources.json") != stamp:
         build().write.mode("overwrite").parquet(path)
-        _replace_text(spark, f"{path}.sources.json", stamp)
+        _put_text(spark, f"{path}.sources.json", stamp)
     return spark.read.parquet(path)
 
 
@@ -112,7 +165,7 @@ def with_counters(df: DataFrame, name: str, **counters):
 
 
 def pages(df: DataFrame, path: str, slug: str, title: str, text: str) -> DataFrame:
-    """HTML pages as rows ``path, html``, rendered by the executors and written as text files by slug.
+    """HTML pages as rows ``slug, html``, rendered by the executors and written as a table, many pages to a file.
 
     Returns the search index ``name, slug, path, excerpt``.
     """
@@ -124,7 +177,7 @@ def pages(df: DataFrame, path: str, slug: str, title: str, text: str) -> DataFra
             for name, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 parts = "".join(f"<p>{html.escape(p)}</p>" for p in (body or "").split("\n") if p.strip())
                 out.append(f"<!doctype html><title>{html.escape(name or '')}</title><h1>{html.escape(name or '')}</h1>{parts}")
-            yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["slug", "value"])
+            yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["slug", "html"])
 
-    df.select(slug, title, text).mapInArrow(render, "slug string, value string").write.mode("overwrite").partitionBy("slug").text(path)
-    return df.select(F.col(title).alias("name"), F.col(slug).alias("slug"), F.concat(F.lit(f"{path}/slug="), F.col(slug)).alias("path"), F.substring(text, 1, 160).alias("excerpt"))
+    df.select(slug, title, text).mapInArrow(render, "slug string, html string").write.mode("overwrite").parquet(path)
+    return df.select(F.col(title).alias("name"), F.col(slug).alias("slug"), F.concat(F.col(slug), F.lit(".html")).alias("path"), F.substring(text, 1, 160).alias("excerpt"))

@@ -86,6 +86,9 @@ def test_versions_views_and_lines(spark, tmp_path):
     assert values(t.read()) == [("a", 1), ("b", 3), ("c", 4)]
     t.undo()
     assert values(t.read()) == [("a", 1), ("b", 2)]
+    t.append(spark.createDataFrame([("z", 9)], "k string, v int"))
+    assert values(t.read()) == [("a", 1), ("b", 2), ("z", 9)]
+    t.undo()
     with pytest.raises(ValueError):
         t.undo()
     built = []
@@ -103,7 +106,7 @@ def test_versions_views_and_lines(spark, tmp_path):
     sinks.write_lines(df, f"{tmp_path}/l", append=True)
     assert spark.read.json(f"{tmp_path}/l").count() == 6
     index = sinks.pages(spark.createDataFrame([("s", "T<", "a\n\nb&")], "slug string, title string, text string"), f"{tmp_path}/p", "slug", "title", "text")
-    assert index.count() == 1 and spark.read.text(f"{tmp_path}/p").collect()[0][0].endswith("<h1>T&lt;</h1><p>a</p><p>b&amp;</p>")
+    assert index.count() == 1 and spark.read.parquet(f"{tmp_path}/p").collect()[0]["html"].endswith("<h1>T&lt;</h1><p>a</p><p>b&amp;</p>")
     seen_df, seen = sinks.with_counters(df, "n", rows=F.count(F.lit(1)))
     seen_df.collect()
     assert seen.get == {"rows": 3}

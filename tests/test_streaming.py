@@ -35,10 +35,10 @@ def test_sessions_and_repeated_deliveries(spark, tmp_path):
 
 def test_prior_context(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
-    df = stream(spark, tmp_path, [("a", t, "1"), ("b", t, "x")], [("a", t, "2")], [("a", t, "3")])
-    got = values(run(streams.prior_context(df, "k", "t", 2), "prior"))
-    assert len(got) == 4 and ("b", "x", "") in got
-    assert sorted(len(p.split("\n")) if p else 0 for k, _, p in got if k == "a") == [0, 1, 2]
+    at = lambda m: t + dt.timedelta(minutes=m)
+    df = stream(spark, tmp_path, [("a", at(2), "2"), ("b", t, "x"), ("a", at(1), "1"), (None, t, "n")], [("a", at(4), "4"), ("a", at(3), None)])
+    got = values(run(streams.prior_context(df, "k", "ts", "t", 2, "1 hour", "1 day"), "prior").select("k", "t", "prior"))
+    assert got == sorted([("a", "1", ""), ("a", "2", "1"), ("a", None, "1\n2"), ("a", "4", "2\n"), ("b", "x", "")], key=repr)
 
 
 def test_incremental_work_and_markers(spark, tmp_path):

@@ -8,7 +8,7 @@ import pytest
 
 from skeinflow.plans import evidence, relational
 
-MERGES = "source_entity_id string, target_entity_id string"
+MERGES = "source_entity_id string, target_entity_id string, created_at_utc timestamp, proposal_id string"
 
 
 def followed(pairs):
@@ -16,7 +16,7 @@ def followed(pairs):
     to = {}
     for s, t in pairs:
         if s is not None and t is not None and s != t:
-            to[s] = min(to.get(s, t), t)
+            to[s] = t  # the last one counts
     out = {}
     for s in to:
         at, seen = s, []
@@ -30,15 +30,17 @@ def followed(pairs):
 def test_merges_whatever_the_order_of_ids(spark, tables):
     pairs = [("z", "m"), ("m", "q"), ("q", "b"), ("d", "c"), ("d", "x"), ("a", "a"), ("a", "k"), ("s", "s"), ("u", "v"), ("v", "u"), ("t", "u"), (None, "z"), ("y", None)]
     pairs += [(f"n{i:02}", f"n{i - 1:02}") for i in range(1, 40)]
-    sf = tables(identity_merges=(pairs, MERGES), claims=([(f"c{i}", t) for i, t in enumerate(["z", "d", "a", "s", "t", "n39", "b", None])], "claim_id string, target_entity_id string"))
+    began = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    merges = [(s, t, began + timedelta(hours=i // 2), f"p{i:03}") for i, (s, t) in enumerate(pairs)]
+    sf = tables(identity_merges=(merges, MERGES), claims=([(f"c{i}", t) for i, t in enumerate(["z", "d", "a", "s", "t", "n39", "b", None])], "claim_id string, target_entity_id string"))
     got = {r.source_entity_id: (r.final, r.hops) for r in relational.merge_targets(spark, sf).collect()}
     assert got == followed(pairs) and got["z"] == ("b", 3) and got["a"] == ("k", 1) and got["t"] == (None, None) and "s" not in got
     claims = {r.claim_id: r.target_entity_id for r in evidence.merged_claims(spark, sf).collect()}
-    assert claims == {"c0": "b", "c1": "c", "c2": "k", "c3": "s", "c4": "t", "c5": "n00", "c6": "b"}
+    assert claims == {"c0": "b", "c1": "x", "c2": "k", "c3": "s", "c4": "t", "c5": "n00", "c6": "b"}
 
 
 CONFIG = "config_id int, section string, enabled boolean, max_gap_hours double, self_user_id string, model_window_max_messages int, model_window_max_chars int"
-ROWS = "message_id string, conversation_id string, dm_pair_id string, author_id string, timestamp_utc timestamp, content_normalized string"
+ROWS = "message_id string, conversation_id string, dm_pair_id string, author_id string, timestamp_utc timestamp, content_normalized string, thread_id string, content_raw string, ingested_at_utc timestamp, provenance struct<json_path:string,export_batch:string,parser_version:string,content_hash:string>"
 
 
 def config(messages, chars):
@@ -48,7 +50,7 @@ def config(messages, chars):
 def said(sizes, conversation="c"):
     """Messages of these sizes, a minute apart."""
     began = datetime(2025, 1, 1, tzinfo=timezone.utc)
-    return [(f"m{i:03}", conversation, "p", "me", began + timedelta(minutes=i), "x" * n) for i, n in enumerate(sizes)]
+    return [(f"m{i:03}", conversation, "p", "me", began + timedelta(minutes=i), "x" * n, "t", None, began, None) for i, n in enumerate(sizes)]
 
 
 @pytest.mark.parametrize(
