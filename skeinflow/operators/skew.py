@@ -17,12 +17,12 @@ WARM_ROWS = 100_000
 SLOTS = 1 << 20
 
 
-def hot_keys(df: DataFrame, key: str, floor_rows: int = 100_000) -> list:
+def hot_keys(df: DataFrame, key: str, floor_rows: int = 100_000, rows: int | None = None) -> list:
     """Keys that own more than ``HOT_SHARE`` of the rows, estimated on a sample: a bounded list.
 
-    Tables of fewer than ``floor_rows`` rows have none: any plan does for them.
+    Tables of fewer than ``floor_rows`` rows have none: any plan does for them. ``rows`` is their number, where it is known.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows < floor_rows:
         return []
     share = min(1.0, SAMPLE_ROWS / rows)
