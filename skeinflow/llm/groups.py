@@ -26,45 +26,41 @@ def seed_tree_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     round by round in reverse, as every parent dropped out later than its child or is a seed.
 
     Neighbourhoods are never gathered: both steps are ``min`` aggregates with map-side combining and
-    joins on a vertex, which split hot vertices (``lookup_join``). Each round's tables go to the
-    shared folder, and superseded ones are deleted.
+    joins on a vertex, which split hot vertices (``lookup_join``); hot ones are only looked for where
+    a round has rows enough for it to matter. Each round's tables go to the shared folder, and
+    superseded ones are deleted. On the way down each round writes its own labels only.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     graph = scratch.save(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    forest: list[DataFrame] = []
-    while not graph.isEmpty():
+    first, rows, rounds = graph, graph.count(), []
+    while rows:
         lowest = graph.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
-        lowest = scratch.save(lowest)
-        told = (
-            lookup_join(graph, lowest, "u")
-            .select(F.col("v").alias("x"), F.col("m").alias("w"))
-            .union(lowest.select(F.col("u").alias("x"), F.col("m").alias("w")))
-            .distinct()
-        )
+        heard = lookup_join(graph, lowest, "u", hot=hot_keys(graph, "u", rows=rows))
+        told = heard.select(F.col("v").alias("x"), F.col("m").alias("w")).union(lowest.select(F.col("u").alias("x"), F.col("m").alias("w"))).distinct()
         told = scratch.save(told)
         best = scratch.save(told.groupBy("x").agg(F.min("w").alias("p"), F.max(F.col("w") == F.col("x")).alias("stays")))
-        forest.append(scratch.save(best.where("NOT stays").select("x", "p")))
-        spokes = lookup_join(told, best.select("x", "p"), "x").where("w <> p").select(F.col("w").alias("u"), F.col("p").alias("v"))
+        rounds.append(best)
+        spokes = lookup_join(told, best.select("x", "p"), "x", hot=hot_keys(told, "x", rows=rows)).where("w <> p").select(F.col("w").alias("u"), F.col("p").alias("v"))
         following = scratch.save(spokes.union(spokes.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        for old in (graph, lowest, told, best) if len(forest) > 1 else (lowest, told, best):
-            scratch.drop(old)
-        if len(forest) == 1:
-            first = graph
-        graph = following
-    if not forest:
+        scratch.drop(told)
+        if graph is not first:
+            scratch.drop(graph)
+        graph, rows = following, following.count()
+    if not rounds:
         return pairs.select(F.col("u").alias("vertex"), F.col("u").alias("component"))
-    dropped = forest[0]
+    forest = [best.where("NOT stays").select("x", "p") for best in rounds]
+    dropped = forest[0].select("x")
     for part in forest[1:]:
-        dropped = dropped.union(part)
+        dropped = dropped.union(part.select("x"))
     # Seeds never dropped out. The first graph holds every vertex.
-    vertices = first.select(F.col("u").alias("x")).distinct()
-    labels = vertices.join(dropped.select("x"), "x", "left_anti").select("x", F.col("x").alias("c"))
-    labels = scratch.save(labels)
+    seeds = first.select(F.col("u").alias("x")).distinct().join(dropped, "x", "left_anti")
+    labels = scratch.save(seeds.select("x", F.col("x").alias("c")))
     for part in reversed(forest):
-        known = labels.select(F.col("x").alias("p"), "c")
-        labels = scratch.save(labels.unionByName(lookup_join(part, known, "p").select("x", "c")))
+        # A parent is a seed or dropped out in a later round, whose labels are there.
+        found = lookup_join(part, labels.select(F.col("x").alias("p"), "c"), "p").select("x", "c")
+        labels = labels.unionByName(scratch.save(found))
     return labels.select(F.col("x").alias("vertex"), F.col("c").alias("component"))
 
 
