@@ -9,10 +9,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.llm.groups import seed_tree_components
+from skeinflow.operators.skew import lookup_join
 from skeinflow.runtime import Scratch, table
 
 # Forms of address, and words that carry no name.
@@ -20,8 +23,12 @@ TITLES = frozenset("captain capt cpt doctor dr professor prof sergeant sgt lieut
 FILLERS = frozenset("the of and de von van".split())
 PLACEHOLDERS = frozenset("unknown none null nil na n/a tbd tba anonymous unnamed noname test todo missing nobody someone".split())
 
-#: A word is context (a given name, a kind of organisation or place) if this share of all entities, and at least LEAST, have it.
-CONTEXT_SHARE, LEAST = 0.001, 5
+#: A word is context (a given name, a kind of organisation or place) if at least LEAST + CONTEXT_SHARE * entities have it.
+CONTEXT_SHARE, LEAST = 0.001, 2.8
+#: A variant of a context word is learned if it is seen twice and in this share of the word's aliases: at most 1 / LEARNED_SHARE a word.
+LEARNED_SHARE = 0.002
+#: A word that stands in aliases for this many different context words, none of them with more than this share, is a title.
+TITLE_MEANINGS, TITLE_TOP = 6, 0.3
 #: Log-likelihood of one edit, of a nickname or abbreviation, of an initial, and of leaving the context out.
 EDIT, SHORT, INITIAL, BARE = -4.0, -0.7, -1.5, -2.0
 #: A variant is attached where its best canonical form has at least this posterior.
@@ -100,17 +107,30 @@ class Context:
     """What the context words of all names are, and how people vary them: the channel's dictionary.
 
     ``words`` maps a context word to the number of entities with it; ``learned`` maps a variant to the
-    context words it stood for in aliases of the same family or place name, with counts.
+    context words it stood for in aliases of the same family or place name, with counts; ``titles``
+    are words that stand for any context word, so that they say nothing. A word meets the context
+    words through shared deletions or its first letter, not one by one.
     """
 
-    def __init__(self, words: dict[str, int], learned: dict[str, dict[str, int]]) -> None:
-        self.words, self.learned = words, learned
+    MEMO = 200_000
+
+    def __init__(self, words: dict[str, int], learned: dict[str, dict[str, int]], titles: frozenset = frozenset()) -> None:
+        self.words, self.learned, self.titles = words, learned, titles
         self.memo: dict[tuple[str, bool], dict[str, float] | None] = {}
+        self.initial: dict[str, list[str]] = {}
+        self.parts: dict[str, list[str]] = {}
+        for w in words:
+            self.initial.setdefault(w[0], []).append(w)
+            if len(w) >= 4:
+                for part in deletions(w):
+                    self.parts.setdefault(part, []).append(w)
 
     def meanings(self, word: str, dotted: bool) -> dict[str, float] | None:
         """The context words ``word`` may stand for, with log-likelihoods; None if it is none of them."""
         key = (word, dotted)
         if key not in self.memo:
+            if len(self.memo) >= self.MEMO:
+                self.memo.clear()
             self.memo[key] = self._meanings(word, dotted)
         return self.memo[key]
 
@@ -124,16 +144,16 @@ class Context:
             if out:
                 return out
         if dotted or len(word) <= 5:
-            out = {w: SHORT * 2 for w in self.words if abbreviates(word, w) and (len(word) <= 4 or word == w[: len(word)])}
+            out = {w: SHORT * 2 for w in self.initial.get(word[0], ()) if abbreviates(word, w) and (len(word) <= 4 or word == w[: len(word)])}
             if out:
                 return out
         most = allowed(len(word)) if len(word) < 8 else 2
         best: dict[str, float] = {}
-        for w in self.words:
-            if abs(len(w) - len(word)) <= most and len(w) >= 4:
-                d = edits(word, w, most)
-                if d <= min(most, allowed(len(w))):
-                    best[w] = EDIT / 2 * d
+        # Words of seven letters have two deletions in the index but may take one: look as far as the other side may.
+        for w in {w for part in deletions(word, most) for w in self.parts.get(part, ())}:
+            d = edits(word, w, most)
+            if d <= min(most, allowed(len(w))):
+                best[w] = EDIT / 2 * d
         if best:
             top = max(best.values())
             return {w: v for w, v in best.items() if v == top}
@@ -153,9 +173,12 @@ class Form(NamedTuple):
 
 
 def form(name: str | None, ctx: Context) -> Form | None:
-    """The form of a name, or None if it is missing, a placeholder or nothing but context words."""
+    """The form of a name, or None if it is missing, a placeholder or nothing but context words.
+
+    A rest of less than four letters is a root only beside context words ("Anna Lee"); such roots allow no edits.
+    """
     p = parse(name)
-    words = list(p.words)
+    words = [w for w in p.words if w not in ctx.titles] if len(p.words) > 1 else list(p.words)
     if len(words) == 1 and words[0] not in ctx.words:
         # Two parts written as one, without capitals.
         w = words[0]
@@ -167,7 +190,7 @@ def form(name: str | None, ctx: Context) -> Form | None:
     rest = [w for w, m in zip(words, means) if m is None]
     if not rest:
         return None
-    if len(rest) == 1 and len(rest[0]) < 4:
+    if len(rest) == 1 and len(rest[0]) < 4 and len(words) == 1:
         return None
     if len(rest) > 1:
         # Not a name of the usual build (an epithet, say): compared as a whole.
@@ -206,49 +229,59 @@ def fits(context: str, full: str) -> float | None:
     return total + 0.5 * BARE * (len(words) - len(used)) * (part[0] != "*")
 
 
-def deletions(root: str) -> set[str]:
-    """What is left of ``root`` without up to as many letters as edits are allowed in it: near words share one of these."""
+def deletions(root: str, most: int | None = None) -> set[str]:
+    """What is left of ``root`` without up to ``most`` letters (as many as edits are allowed in it): near words share one of these."""
     out = {root}
     layer = {root}
-    for _ in range(allowed(len(root))):
+    for _ in range(allowed(len(root)) if most is None else most):
         layer = {w[:i] + w[i + 1 :] for w in layer for i in range(len(w))}
         out |= layer
     return out
 
 
+def word_deletions(root: str) -> set[str]:
+    """``deletions`` of a root, within its words: a part that loses a whole word or a blank says nothing about spelling."""
+    words = root.split(" ")
+    if len(words) == 1:
+        return deletions(root)
+    cut = [[deletions(w, 0), deletions(w, min(1, len(w) - 1)) - {w}, (deletions(w, min(2, len(w) - 1)) - deletions(w, 1)) - {w}] for w in words]
+    out = {root}
+    for i, w in enumerate(words):
+        for c in cut[i][1] | cut[i][2]:
+            out.add(" ".join([*words[:i], c, *words[i + 1 :]]))
+        for k in range(i + 1, len(words)):
+            for c in cut[i][1]:
+                for d in cut[k][1]:
+                    out.add(" ".join([*words[:i], c, *words[i + 1 : k], d, *words[k + 1 :]]))
+    return out
+
+
 #: Log-likelihood that a spelling near another one is a name of its own.
 ALONE = -9.0
 
 
-def attribute(x: dict, options: list[dict]) -> tuple[str | None, float]:
-    """The key of the canonical form that most probably was meant by form ``x``, and its posterior.
+def likelihood(x: dict, y: dict) -> float | None:
+    """The log of prior times likelihood that form ``x`` was written for the canonical form ``y``; None where it can't have been.
 
-    ``x`` and ``options`` have ``key, root, context, full, freq, records``. A full form (one context)
-    competes with being a name of its own; every one of its records would have to be the same typo.
-    It is only attached to a more frequent form of the same context. Returns the form's own key where
-    that is likelier, None where no option is sure enough.
+    Both have ``key, root, context, full, freq, records``. A full form (one context) competes with
+    being a name of its own; every one of its records would have to be the same typo. It is only
+    attached to a more frequent form of the same context.
     """
-    scored = []
-    for y in options:
-        d = edits(x["root"], y["root"]) if x["root"] != y["root"] else 0
-        if d > min(allowed(len(x["root"])), allowed(len(y["root"]))):
-            continue
-        if x["full"] is not None:
-            if (d == 0 and " " not in x["root"]) or (x["full"] == "") != (y["full"] == "") or (y["freq"], y["key"]) < (x["freq"], x["key"]):
-                continue
-        value = fits(x["context"], y["full"]) if x["full"] != "" else 0.0
-        if value is not None:
-            scored.append((max(x["records"], 1) * EDIT * d + value + math.log(y["freq"]), y["key"]))
-    own = ALONE + math.log(max(x["freq"], 1)) if x["full"] is not None else ALONE - 3
-    if not scored:
-        return x["key"], 1.0
-    best, key = max(scored)
-    if own >= best:
-        return x["key"], 1.0
-    share = 1 / (sum(math.exp(v - best) for v, _ in scored) + math.exp(own - best))
-    if share >= SURE:
-        return key, share
-    return (x["key"] if x["full"] is not None else None), share
+    d = edits(x["root"], y["root"]) if x["root"] != y["root"] else 0
+    if d > min(allowed(len(x["root"])), allowed(len(y["root"]))):
+        return None
+    if x["full"] is not None:
+        if (d == 0 and " " not in x["root"]) or (x["full"] == "") != (y["full"] == "") or (y["freq"], y["key"]) < (x["freq"], x["key"]):
+            return None
+    value = fits(x["context"], y["full"]) if x["full"] != "" else 0.0
+    return None if value is None else max(x["records"], 1) * EDIT * d + value + math.log(y["freq"])
+
+
+def decided(key: Column, full: Column, freq: Column, best: Column, target: Column, mass: Column) -> Column:
+    """Where a form goes: its own key if being a name of its own is likelier, the best option if it is sure enough, else null."""
+    own = F.when(full.isNotNull(), F.lit(ALONE) + F.log(F.greatest(freq, F.lit(1)))).otherwise(F.lit(ALONE - 3))
+    share = F.exp(best) / (mass + F.exp(own))
+    return F.when(best.isNull() | (own >= best), key).when(share >= SURE, target).otherwise(F.when(full.isNotNull(), key))
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,17 +303,16 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_context(names: DataFrame, scratch: Scratch) -> Context:
-    """Context words and their variants, counted over the whole curated table.
+    """Context words, their variants and titles, counted over the whole curated table.
 
     At most 1 / ``CONTEXT_SHARE`` words for each word of a name can have the share that makes a
-    context word, so the dictionary is small however large the table; learned variants are those seen
-    at least twice, for these words.
+    context word, and at most 1 / ``LEARNED_SHARE`` variants of each can have theirs, so the
+    dictionary is small however large the table.
     """
     words = scratch.save(names.where("kind <> 'c'").select("record", "kind", "name").mapInArrow(_parsed, "record string, kind string, words array<string>"))
     main = words.where("kind = 's'")
     n = main.select("record").distinct().count()
-    least = max(LEAST, CONTEXT_SHARE * n) if n >= 1000 else 3
-    counted = main.select("record", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    counted = main.select("record", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST + CONTEXT_SHARE * n)
     context = {r["word"]: r["n"] for r in counted.collect()}
     if not context:
         return Context({}, {})
@@ -289,40 +321,66 @@ def learn_context(names: DataFrame, scratch: Scratch) -> Context:
     alias = words.where("kind = 'a'").select("record", F.col("words").alias("alias"))
     pairs = owner.join(alias, "record").where(F.array_contains("alias", F.col("root")[0]))
     pairs = pairs.select(F.array_except(F.array_except("alias", "root"), "kinds").alias("extra"), F.array_except("kinds", "alias").alias("missing")).where("size(extra) = 1 AND size(missing) > 0")
+    seen = scratch.save(pairs.select(F.col("extra")[0].alias("a"), F.explode("missing").alias("w")).groupBy("a", "w").agg(F.count(F.lit(1)).alias("n")).where(~F.col("a").isin(sorted(context))))
+    of_word = seen.groupBy("w").agg(F.sum("n").alias("all"))
+    # A title stands for many context words, for none of them mostly: it has far more meanings than a nickname.
+    spread = seen.groupBy("a").agg(F.count(F.lit(1)).alias("meanings"), (F.max("n") / F.sum("n")).alias("top"), F.sum("n").alias("uses"))
+    whole = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]  # one number
+    titles = frozenset(r["a"] for r in spread.where((F.col("meanings") >= TITLE_MEANINGS) & (F.col("top") <= TITLE_TOP) & (F.col("uses") >= LEARNED_SHARE * whole)).collect())
     learned: dict[str, dict[str, int]] = {}
-    for r in pairs.select(F.col("extra")[0].alias("a"), F.explode("missing").alias("w")).groupBy("a", "w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").collect():
-        if r["a"] not in context:
+    for r in seen.join(of_word, "w").where((F.col("n") >= 2) & (F.col("n") >= LEARNED_SHARE * F.col("all"))).select("a", "w", "n").collect():
+        if r["a"] not in titles:
             learned.setdefault(r["a"], {})[r["w"]] = r["n"]
-    return Context(context, learned)
+    return Context(context, learned, titles)
 
 
-def spark_parallelism(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
+#: Roots of one deletion part that are compared in one task; parts of more are cut into blocks.
+PART_BLOCK = 500
 
 
 def _near_roots(roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """``root, other``: different roots that may be spellings of each other: they share a deletion."""
+    """``root, other``: different roots that may be spellings of each other: they share a deletion.
+
+    What is shuffled is two 64-bit hashes for each deletion. Two roots of one hash would only be
+    compared once too often, as every pair is checked by its edits. A part of many roots is cut into
+    blocks, and each pair of blocks is a join key of its own.
+    """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: list[str] = []
-            keys: list[str] = []
+            held, keys = [], []
             for root in b.column(0).to_pylist():
-                found = deletions(root)
-                held += [root] * len(found)
-                keys += found
+                found = word_deletions(root)
+                own = xxhash.xxh64_intdigest(root) - (1 << 63)
+                held += [own] * len(found)
+                keys += [xxhash.xxh64_intdigest(part) - (1 << 63) for part in found]
                 if len(keys) > 200_000:
-                    yield pa.record_batch([pa.array(held), pa.array(keys)], names=["root", "part"])
+                    yield pa.record_batch([pa.array(held, pa.int64()), pa.array(keys, pa.int64())], names=["id", "part"])
                     held, keys = [], []
-            yield pa.record_batch([pa.array(held, pa.string()), pa.array(keys, pa.string())], names=["root", "part"])
+            yield pa.record_batch([pa.array(held, pa.int64()), pa.array(keys, pa.int64())], names=["id", "part"])
 
     # Each root becomes dozens of rows, so small inputs are spread over all cores first.
-    roots = roots.repartition(max(spark_parallelism(roots), roots.count() // 20_000), "root")
-    parts = roots.mapInArrow(expand, "root string, part string").select("root", F.xxhash64("part").alias("part"))
-    # A part belongs to a few roots; those of one root alone are most of them and fall away here.
-    shared = scratch.save(parts.groupBy("part").agg(F.collect_set("root").alias("held")).where("size(held) > 1").select("held").distinct())
-    each = shared.select(F.explode("held").alias("root"), "held")
-    return each.select("root", F.explode("held").alias("other")).where("root <> other").distinct()
+    spread = roots.repartition(max(roots.sparkSession.sparkContext.defaultParallelism, roots.count() // 20_000), "root")
+    parts = spread.mapInArrow(expand, "id bigint, part bigint")
+    # A part belongs to a few roots; those of one root alone are most of them and fall away in the aggregate.
+    few = F.count(F.lit(1)).alias("n")
+    bounds = scratch.save(parts.groupBy("part").agg(F.min("id").alias("low"), F.max("id").alias("high"), few).where("n > 1"))
+    pairs = bounds.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    many = bounds.where("n > 2").select("part", F.ceil(F.col("n") / PART_BLOCK).cast("int").alias("blocks"))
+    held = scratch.save(lookup_join(parts, many, "part").select("part", "id", "blocks", F.pmod(F.hash("id"), F.col("blocks")).alias("mine")))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = held.select("part", F.col("id").alias("a"), "mine", all_blocks.alias("theirs"))
+    right = held.select("part", F.col("id").alias("b"), F.col("mine").alias("theirs"), all_blocks.alias("mine"))
+    pairs = pairs.unionByName(left.join(right, ["part", "mine", "theirs"]).where("a < b").select("a", "b")).distinct()
+    pairs = scratch.save(pairs.where("a <> b"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    named = scratch.save(roots.select("root").mapInArrow(_with_ids, "root string, id bigint"))
+    return both.join(named.select(F.col("id").alias("a"), "root"), "a").join(named.select(F.col("id").alias("b"), F.col("root").alias("other")), "b").select("root", "other")
+
+
+def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([b.column(0), pa.array([xxhash.xxh64_intdigest(r) - (1 << 63) for r in b.column(0).to_pylist()], pa.int64())], names=["root", "id"])
 
 
 def linked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,34 +423,36 @@ def linked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = forms.where("full IS NOT NULL AND freq > 0")
     roots = scratch.save(forms.select("root").distinct())
     near = scratch.save(_near_roots(roots, scratch).unionByName(roots.select("root", F.col("root").alias("other"))))
-    described = F.struct("key", "root", "context", "full", "freq", "records")
-    # A root has at most as many canonical forms as there are contexts: the list is short.
-    by_root = canonical.groupBy(F.col("root").alias("other")).agg(F.collect_list(described).alias("found"))
-    options = near.join(by_root, "other").groupBy("root").agg(F.flatten(F.collect_list("found")).alias("options"))
-    asked = forms.join(options, "root", "left").select(described.alias("x"), "options")
+    fields = ["key", "root", "context", "full", "freq", "records"]
+    # Every (form, option) is a row of its own; they meet again in an aggregate that combines within tasks.
+    options = near.join(canonical.select(F.col("root").alias("other"), F.struct(*fields).alias("y")), "other").select("root", "y")
+    asked = forms.select("root", F.struct(*fields).alias("x")).join(options, "root").where("x.key <> y.key").select("x", "y")
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, targets = [], []
-            for x, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys.append(x["key"])
-                targets.append(attribute(x, [y for y in found or [] if y["key"] != x["key"]])[0])
-            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(targets, pa.string())], names=["key", "target"])
-
-    chosen = scratch.save(asked.mapInArrow(choose, "key string, target string"))
+            values = [likelihood(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            keep = pa.array([v is not None for v in values])
+            keys, targets = pc.struct_field(b.column(0), "key"), pc.struct_field(b.column(1), "key")
+            yield pa.record_batch([keys.filter(keep), targets.filter(keep), pa.array([v for v in values if v is not None], pa.float64())], names=["key", "target", "value"])
+
+    best = asked.mapInArrow(weigh, "key string, target string, value double").groupBy("key").agg(F.max(F.struct("value", "target")).alias("best"), F.sum(F.exp("value")).alias("mass"))
+    joined = forms.join(best, "key", "left")
+    chosen = scratch.save(joined.select("key", decided(F.col("key"), F.col("full"), F.col("freq"), F.col("best.value"), F.col("best.target"), F.col("mass")).alias("target")))
     main = used.where("kind = 's'").select("record", F.col("key").alias("main"))
     # An alias whose entities are all one name links its form; main forms are compared by their targets.
-    owners = used.where("kind = 'a'").select("record", "key").join(main, "record").join(chosen.select(F.col("key").alias("main"), "target"), "main")
-    owned = owners.groupBy("key").agg(F.min(F.coalesce("target", "main")).alias("low"), F.max(F.coalesce("target", "main")).alias("high"), F.min("main").alias("main"))
-    shared = scratch.save(owned.where("low <> high").select("key"))
+    owners = lookup_join(used.where("kind = 'a'").select("record", "key").join(main, "record"), chosen.select(F.col("key").alias("main"), "target"), "main")
+    owned = scratch.save(owners.groupBy("key").agg(F.min(F.coalesce("target", "main")).alias("low"), F.max(F.coalesce("target", "main")).alias("high"), F.min("main").alias("main")))
+    shared = owned.where("low <> high").select("key")
     own = owned.where("low = high").select("key", F.col("main").alias("target"))
     plain = forms.join(shared, "key", "left_semi").where("full IS NULL OR full = ''").select("key")
     # What several entities are called is no name of one: such forms link nothing (full names still do).
     doubtful = scratch.save(chosen.where("target IS NULL").select("key").join(own, "key", "left_anti").unionByName(plain).distinct())
     edges = chosen.where("target IS NOT NULL AND target <> key").unionByName(own.where("key <> target")).join(doubtful, "key", "left_anti")
     groups = seed_tree_components(edges, "key", "target").select(F.col("vertex").alias("key"), "component")
-    holders = used.where("kind <> 'a'").select("record", "key").join(doubtful, "key", "left_anti")
-    return holders.join(groups, "key", "left").select("record", F.coalesce("component", "key").alias("group_key"))
+    state = groups.unionByName(doubtful.select("key", F.lit(None).cast("string").alias("component")))
+    state = state.groupBy("key").agg(F.max("component").alias("component"), F.max(F.col("component").isNull()).alias("doubtful"))
+    holders = used.where("kind <> 'a'").select("record", "key")
+    return lookup_join(holders, state, "key", "left").where("NOT coalesce(doubtful, false)").select("record", F.coalesce("component", "key").alias("group_key"))
 
 
 def pairs_within(records: DataFrame, block: int = 1000) -> DataFrame:
@@ -402,7 +462,7 @@ def pairs_within(records: DataFrame, block: int = 1000) -> DataFrame:
     tasks of their own, so that no task holds all pairs of a large group.
     """
     sizes = records.groupBy("group_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    held = records.distinct().join(sizes.select("group_key", "blocks"), "group_key").withColumn("mine", F.pmod(F.hash("record"), "blocks"))
+    held = lookup_join(records.distinct(), sizes.select("group_key", "blocks"), "group_key").withColumn("mine", F.pmod(F.hash("record"), "blocks"))
     left = held.select("group_key", F.col("record").alias("record_a"), "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("theirs"))
     right = held.select("group_key", F.col("record").alias("record_b"), F.col("mine").alias("theirs"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))
     return left.join(right, ["group_key", "mine", "theirs"]).where("record_a < record_b").select("record_a", "record_b").distinct()
