@@ -78,6 +78,12 @@ def canonical(text: str | None) -> bytes | None:
     return b"p" + plain if plain else None
 
 
+#: Bytes that a text counts beside its own, for the nodes it takes.
+OVERHEAD = 200
+#: Bytes of texts that a task holds while it counts, before and after the shuffle.
+HELD_BYTES = 64 << 20
+
+
 class CountingTrie:
     """Byte strings in steps of ``STEP`` bytes; the node where one ends has its counter and smallest id."""
 
@@ -85,7 +91,7 @@ class CountingTrie:
 
     def __init__(self) -> None:
         self.root: dict = {}
-        self.keys = 0
+        self.keys = self.bytes = 0
 
     def add(self, key: bytes, n: int, low: str) -> None:
         node = self.root
@@ -99,6 +105,7 @@ class CountingTrie:
         if end is None:
             node[None] = [n, low]
             self.keys += 1
+            self.bytes += len(key) + OVERHEAD
         else:
             end[0] += n
             if low < end[1]:
@@ -118,11 +125,14 @@ class CountingTrie:
 _COUNTED = pa.schema([("canon", pa.binary()), ("n", pa.int64()), ("low", pa.string())])
 
 
-def _emit(trie: CountingTrie, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _emit(trie: CountingTrie, rows: int = 20_000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     chunk: list[tuple[bytes, int, str]] = []
+    held = 0
     for end in trie.terminals():
         chunk.append(end)
-        if len(chunk) == rows:
+        held += len(end[0])
+        if len(chunk) == rows or held >= size:
+            held = 0
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*chunk), _COUNTED.types)], schema=_COUNTED)
             chunk = []
     if chunk:
@@ -134,15 +144,15 @@ def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([b.column(0), pa.array([canonical(t) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "canon"])
 
 
-def _combine(batches: Iterator[pa.RecordBatch], limit: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Counts within a task before anything is shuffled; emptied when it holds ``limit`` texts."""
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts within a task before anything is shuffled; emptied when it holds ``HELD_BYTES``."""
     trie = CountingTrie()
     for b in batches:
         for key, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             trie.add(key, 1, low)
-        if trie.keys >= limit:
-            yield from _emit(trie)
-            trie = CountingTrie()
+            if trie.bytes >= HELD_BYTES:
+                yield from _emit(trie)
+                trie = CountingTrie()
     yield from _emit(trie)
 
 
@@ -158,37 +168,48 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from _emit(trie)
 
 
-def radix_counts(keyed: DataFrame, limit: int = 50_000) -> DataFrame:
+#: Oversized prefixes of one length that are broadcast; more of them meet the texts in a join.
+MAX_PREFIXES = 20_000
+
+
+def _marked(rows: DataFrame, big: DataFrame, many: int, depth: int, flag: str) -> DataFrame:
+    """``rows`` with ``flag`` true where their first ``depth`` bytes are one of the ``big`` prefixes and aren't all of them."""
+    prefixed = rows.withColumn("_prefix", F.when(F.length("canon") > depth, F.substring("canon", 1, depth)))
+    table_ = big.select(F.col("prefix").alias("_prefix"), F.lit(True).alias(flag))
+    joined = prefixed.join(F.broadcast(table_), "_prefix", "left") if many <= MAX_PREFIXES else lookup_join(prefixed, table_, "_prefix", "left")
+    return joined.drop("_prefix")
+
+
+def radix_counts(keyed: DataFrame, limit: int = HELD_BYTES // 4) -> DataFrame:
     """``canon, n, low``: each distinct ``canon`` of ``keyed(id, canon)`` with its number of rows and its smallest id.
 
     Counts are combined within tasks first, so a text with a third of all rows leaves each task as
     one row. The rest is partitioned by radix on the canonical bytes: buckets are the prefixes of
-    2 bytes; a bucket of more than ``limit`` rows is split by 4 bytes, then 8, and so on, until each
+    2 bytes; a bucket of more than ``limit`` bytes is split by 4 bytes, then 8, and so on, until each
     fits or is a single text. Each bucket is counted in a trie of its own, in one task, which holds
-    one bucket at a time. There are at most rows / ``limit`` oversized prefixes of one length; only
-    those are broadcast.
+    one bucket at a time. Oversized prefixes are broadcast while they are few (they are counted),
+    else they meet the texts in a join whose hot keys are split off.
     """
     spark = keyed.sparkSession
     scratch = Scratch(spark, "radix")
     parts = scratch.save(keyed.where("canon IS NOT NULL").select("canon", F.col("id").cast("string").alias("low")).mapInArrow(_combine, "canon binary, n bigint, low string"))
-    depth, open_rows, bucket = 2, parts, None
-    over: list[tuple[int, DataFrame]] = []
+    depth, open_rows = 2, parts
+    over: list[tuple[int, DataFrame, int]] = []
     while True:
-        sizes = open_rows.where(F.length("canon") > depth).groupBy(F.substring("canon", 1, depth).alias("prefix")).count()
-        big = scratch.save(sizes.where(F.col("count") > limit).select("prefix"))
-        if big.isEmpty():
+        sizes = open_rows.where(F.length("canon") > depth).groupBy(F.substring("canon", 1, depth).alias("prefix")).agg(F.sum(F.length("canon") + OVERHEAD).alias("bytes"))
+        big = scratch.save(sizes.where(F.col("bytes") > limit).select("prefix"))
+        many = big.count()
+        if not many:
             break
-        over.append((depth, big))
-        open_rows = open_rows.withColumn("prefix", F.substring("canon", 1, depth)).where(F.length("canon") > depth).join(F.broadcast(big), "prefix", "left_semi").drop("prefix")
+        over.append((depth, big, many))
+        open_rows = _marked(open_rows, big, many, depth, "_o").where("_o").drop("_o")
         depth *= 2
     placed = parts
-    depths = [2 * 2**i for i in range(len(over) + 1)]
-    for i, (d, big) in enumerate(over):
-        flag = big.select(F.col("prefix").alias(f"_p{i}"), F.lit(True).alias(f"_o{i}"))
-        placed = placed.join(F.broadcast(flag), (F.substring("canon", 1, d) == F.col(f"_p{i}")) & (F.length("canon") > d), "left").drop(f"_p{i}")
-    bucket = F.substring("canon", 1, depths[-1])
-    for i in reversed(range(len(over))):
-        bucket = F.when(F.col(f"_o{i}"), bucket).otherwise(F.substring("canon", 1, depths[i]))
+    bucket = F.substring("canon", 1, depth)
+    for i, (d, big, many) in enumerate(over):
+        placed = _marked(placed, big, many, d, f"_o{i}")
+    for i, (d, _, _) in reversed(list(enumerate(over))):
+        bucket = F.when(F.col(f"_o{i}"), bucket).otherwise(F.substring("canon", 1, d))
     # Prefixes of different lengths never collide: a shorter one is a bucket only where it isn't split.
     placed = placed.select(bucket.alias("bucket"), "canon", "n", "low").repartition("bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(_count_buckets, "canon binary, n bigint, low string")

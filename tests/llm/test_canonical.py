@@ -38,7 +38,7 @@ def test_trie_counts(keys):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.text("ab", min_size=1, max_size=12), max_size=60), st.integers(1, 8))
+@given(st.lists(st.text("ab", min_size=1, max_size=12), max_size=60), st.integers(1, 1600))
 def test_radix_counts_at_any_bucket_size(spark, keys, limit):
     df = spark.createDataFrame([(f"{i:03d}", bytearray(k.encode())) for i, k in enumerate(keys)], "id string, canon binary")
     got = {bytes(r.canon).decode(): (r.n, r.low) for r in radix_counts(df, limit).collect()}
