@@ -68,48 +68,69 @@ def plan_rates(sizes: dict[str, int], targets: dict[str, tuple[float, int]], tot
     return total, {s: min(total * t[0] / whole / sizes[s], float(t[1])) for s, t in have.items()}
 
 
-def mixture(sized: DataFrame, targets: dict[str, tuple[float, int]], seed: int = 17, total: float | None = None, grid: int = 12, passes: int = 3) -> DataFrame:
-    """``doc_id, source, copy_no, tokens, shuffle_key`` in a global random order.
+#: Drawn and wanted tokens of a source may differ by this share; tuning goes on until they do or no mean comes nearer.
+TOLERANCE = 0.001
 
-    ``sized`` has ``doc_id, source, tokens`` (other columns stay out); ``targets`` maps a source to
-    its share of all tokens and the most uses of one document. A document is used as often as the
-    inverse of a Poisson distribution function at its hashed number says, capped. That is monotone
-    in the Poisson mean, so each source's mean, first solved from its target rate, is then tuned
-    until the tokens really drawn meet the target: ``passes`` aggregations over ids and sizes try
-    ``grid`` means for every source at once. Sources without target, with a null source or of no
-    share are left out, as are documents of no tokens; a repeated ``doc_id`` counts once; sources without documents can't contribute. Copies are shuffled by a
-    hash of document and copy. Nothing is collected but a few numbers for each target source.
+
+def tuned_steps(sized: DataFrame, rates: dict[str, float], sizes: dict[str, int], caps: dict[str, int], u: Column, grid: int = 12, tolerance: float = TOLERANCE) -> dict[str, list[float]]:
+    """For each source the steps of the Poisson mean whose drawn tokens come nearest to ``rates * sizes``.
+
+    What is drawn is monotone in the mean. Every pass is one aggregation over ids and sizes that
+    tries ``grid`` means for each source still open and keeps the interval around its goal. A source
+    is done within ``tolerance``, or when the ends of its interval draw the same or neighbouring
+    amounts that no mean between them splits (a few hundred bits of the mean are never reached:
+    intervals shrink ``grid``-fold, so after 14 passes they are below the precision of the numbers).
     """
-    sized = sized.where("tokens > 0 AND doc_id IS NOT NULL").where(F.col("source").isin(list(targets)))
-    sized = Scratch(sized.sparkSession, "mixture").save(sized.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens")))
-    sizes = {r["source"]: int(r["t"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    total, rates = plan_rates(sizes, targets, total)
-    u = _uniform(seed, "doc_id")
-    low = {s: 0.0 for s in rates}
-    high: dict[str, float] = {}
+    best: dict[str, float] = {}
+    low, high, error = {}, {}, {}
     for s, r in rates.items():
-        cap = targets[s][1]
-        high[s] = 60.0 + cap if r >= cap * (1 - 1e-9) else 2 * solve_rate(r, cap) + 1e-9
-    best = {s: (solve_rate(r, targets[s][1]) if r < targets[s][1] * (1 - 1e-9) else 60.0 + targets[s][1]) for s, r in rates.items()}
-    for _ in range(passes if rates else 0):
-        tries = {s: [low[s] + (high[s] - low[s]) * (i + 1) / grid for i in range(grid)] for s in rates}
-        # One flat array of steps for each try; a document compares its hash with the steps of its source.
+        if r >= caps[s] * (1 - 1e-9):
+            best[s] = 60.0 + caps[s]  # every document as often as it may be
+        else:
+            low[s], high[s], error[s] = 0.0, 2 * solve_rate(r, caps[s]) + 1e-9, math.inf
+    open_sources = set(low)
+    while open_sources:
+        tries = {s: [low[s] + (high[s] - low[s]) * (i + 1) / grid for i in range(grid)] for s in open_sources}
         sums = []
         for i in range(grid):
-            steps = _by_source({s: poisson_steps(tries[s][i], targets[s][1]) for s in rates})[F.col("source")]
+            steps = _by_source({s: poisson_steps(tries[s][i], caps[s]) for s in open_sources})[F.col("source")]
             sums.append(F.sum(F.col("tokens") * _times(steps, u)).alias(f"t{i}"))
-        drawn = {r["source"]: [r[f"t{i}"] or 0 for i in range(grid)] for r in sized.where(F.col("source").isin(list(rates))).groupBy("source").agg(*sums).collect()}
-        for s in rates:
+        drawn = {r["source"]: [r[f"t{i}"] or 0 for i in range(grid)] for r in sized.where(F.col("source").isin(sorted(open_sources))).groupBy("source").agg(*sums).collect()}
+        for s in sorted(open_sources):
             goal = rates[s] * sizes[s]
+            near = min(range(grid), key=lambda i: abs(drawn[s][i] - goal))
+            if abs(drawn[s][near] - goal) < error[s]:
+                best[s], error[s] = tries[s][near], abs(drawn[s][near] - goal)
             below = [i for i in range(grid) if drawn[s][i] <= goal]
             k = below[-1] if below else -1
-            near = min(range(grid), key=lambda i: abs(drawn[s][i] - goal))
-            best[s] = tries[s][near]
             low[s], high[s] = (tries[s][k] if k >= 0 else low[s]), tries[s][min(k + 1, grid - 1)]
+            if error[s] <= tolerance * goal or high[s] - low[s] <= 1e-12 * max(high[s], 1e-300):
+                open_sources.discard(s)
+    return {s: poisson_steps(best[s], caps[s]) for s in rates}
+
+
+def mixture(sized: DataFrame, targets: dict[str, tuple[float, int]], seed: int = 17, total: float | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """``doc_id, source, copy_no, tokens, shuffle_key`` in a global random order.
+
+    ``sized`` has ``doc_id, source, tokens`` (other columns stay out); ``targets`` maps a source to
+    its share of all tokens and the most uses of one document. ``total`` is the size wanted, in
+    tokens; without it the mixture is the largest whose shares can be met. A document is used as
+    often as the inverse of a Poisson distribution function at its hashed number says, capped. That
+    is monotone in the Poisson mean, so each source's mean, first solved from its target rate, is
+    then tuned until the tokens really drawn meet the target (``tuned_steps``). Sources without
+    target, with a null source or of no share are left out, as are documents of no tokens; a
+    repeated ``doc_id`` counts once; sources without documents can't contribute. Copies are shuffled
+    by a hash of document and copy. Nothing is collected but a few numbers for each target source.
+    """
+    sized = sized.where("tokens > 0 AND doc_id IS NOT NULL").where(F.col("source").isin(list(targets)))
+    sized = Scratch(sized.sparkSession, "mixture").save(sized.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens")))
+    sizes = {r["source"]: int(r["t"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    total, rates = plan_rates(sizes, targets, total)
+    u = _uniform(seed, "doc_id")
     if not rates:
         chosen = sized.where(F.lit(False)).withColumn("times", F.lit(0).cast("long"))
     else:
-        steps = _by_source({s: poisson_steps(best[s], targets[s][1]) for s in rates})[F.col("source")]
+        steps = _by_source(tuned_steps(sized, rates, sizes, {s: targets[s][1] for s in rates}, u, tolerance=tolerance))[F.col("source")]
         chosen = sized.where(F.col("source").isin(list(rates))).withColumn("times", _times(steps, u)).where("times > 0")
     copies = chosen.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy_no"))
     return copies.withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.lit(seed + 1))).orderBy("shuffle_key", "doc_id", "copy_no")
@@ -126,17 +147,46 @@ def _sized(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:
     return Scratch(spark, "mix").save(token_counts(docs, "text", tokenizer=tokenizer))
 
 
-def p8_mixture(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    return mixture(_sized(spark, sf_dir, tokenizer), mix_targets(spark, sf_dir))
+def p8_mixture(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER, total: float | None = None) -> DataFrame:
+    """The mixture of ``total`` tokens; without it the largest in which every source has its share."""
+    return mixture(_sized(spark, sf_dir, tokenizer), mix_targets(spark, sf_dir), total=total)
 
 
-def p8_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Target and reached share of every target source."""
-    targets = mix_targets(spark, sf_dir)
-    mixed = p8_mixture(spark, sf_dir, tokenizer).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("copy_no").alias("most_uses"))
+def _shares(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float | None) -> DataFrame:
+    spark = sized.sparkSession
+    mixed = mixture(sized, targets, total=total).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("copy_no").alias("most_uses"))
+    stock = sized.where("tokens > 0 AND doc_id IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("stock"))
     wanted = spark.createDataFrame([(s, t[0], t[1]) for s, t in targets.items()], "source string, target_share double, max_repeats int")
-    mixed = Scratch(spark, "shares").save(mixed)
-    whole = mixed.agg(F.sum("tokens")).collect()[0][0] or 1
-    return wanted.join(mixed, "source", "left").select(
-        "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.lit(whole)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "max_repeats", F.coalesce("most_uses", F.lit(0)).alias("most_uses")
-    )
+    joined = Scratch(spark, "shares").save(wanted.join(mixed, "source", "left").join(stock, "source", "left"))
+    whole = joined.agg(F.sum("tokens"), F.sum(F.when(F.col("stock") > 0, F.col("target_share")))).collect()[0]  # one row
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    reached, share = zero("tokens") / F.lit(whole[0] or 1), F.when(zero("stock") > 0, F.col("target_share") / F.lit(whole[1] or 1.0)).otherwise(F.lit(0.0))
+    return joined.select(
+        "source", "target_share", share.alias("possible_share"), reached.alias("reached_share"), zero("tokens").cast("long").alias("tokens"), zero("stock").cast("long").alias("stock"), "max_repeats", zero("most_uses").cast("long").alias("most_uses"),
+        (zero("tokens") >= zero("stock") * F.col("max_repeats")).alias("used_up"), (F.abs(reached - share) <= 0.01 * share).alias("met"),
+    )
+
+
+def p8_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER, total: float | None = None) -> DataFrame:
+    """Target and reached share of every target source; the share possible among sources that have documents; whether a source is used up and whether its share is met within 1 %."""
+    return _shares(_sized(spark, sf_dir, tokenizer), mix_targets(spark, sf_dir), total)
+
+
+def p8_corpus_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The same for a mixture as large as the corpus: small sources are used up to their caps and fall short, which shows."""
+    sized = _sized(spark, sf_dir, tokenizer)
+    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).collect()[0][0]  # one number
+    return _shares(sized, mix_targets(spark, sf_dir), float(total))
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """For each target source: its largest allowed use, and how many documents are used too often, counted twice or of another source (all none)."""
+    mixed = Scratch(spark, "mixed").save(p8_mixture(spark, sf_dir, tokenizer))
+    targets = mix_targets(spark, sf_dir)
+    wanted = spark.createDataFrame([(s, t[1]) for s, t in targets.items()], "source string, max_repeats int")
+    uses = mixed.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("copy_no").alias("copies"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("own")).distinct()
+    seen = uses.join(own, "doc_id", "left").join(F.broadcast(wanted), "source", "left")
+    bad = lambda c, n: F.sum(F.coalesce(c, F.lit(True)).cast("long")).alias(n)
+    per = seen.groupBy("source").agg(bad(F.col("uses") > F.col("max_repeats"), "too_often"), bad(F.col("uses") > F.col("copies"), "counted_twice"), bad(F.col("own") != F.col("source"), "of_another"))
+    return wanted.join(per, "source", "left").select("source", "max_repeats", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("too_often", "counted_twice", "of_another")])
