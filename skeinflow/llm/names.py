@@ -476,3 +476,16 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with a usable name, with the smallest record of its group and the group's size."""
     linked = Scratch(spark, "linked").save(linked_records(spark, sf_dir))
     return linked.join(linked.groupBy("group_key").agg(F.min("record").alias("group_record"), F.count(F.lit(1)).alias("size")), "group_key").select("group_record", "record", "size")
+
+
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each table of records: how many there are, and how many of them are in two groups, unknown, or larger than their group's first (all none)."""
+    groups = Scratch(spark, "groups").save(p6_groups(spark, sf_dir))
+    seeds = table(spark, sf_dir, "entity_seed").select(F.lit("entity_seed").alias("origin"), F.col("entity_id").alias("record"))
+    found = table(spark, sf_dir, "entity_candidates").select(F.lit("entity_candidates").alias("origin"), F.col("candidate_id").alias("record"))
+    known = seeds.unionByName(found).where("record IS NOT NULL").distinct()
+    per = groups.groupBy("record").agg(F.countDistinct("group_record").alias("groups"), F.max(F.col("group_record") > F.col("record")).alias("late"))
+    joined = known.join(per, "record", "full_outer").withColumn("origin", F.coalesce("origin", F.lit("nowhere")))
+    count = lambda c, n: F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(n)
+    out = joined.groupBy("origin").agg(F.count(F.lit(1)).alias("records"), count(F.col("groups") > 1, "in_two"), count(F.col("late"), "before_first"))
+    return out

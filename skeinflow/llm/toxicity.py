@@ -22,8 +22,10 @@ WIDTH, STRIDE = 8, 4
 NEAR, POWER = 0.5, 4
 #: Weight of the base rate in a vote, and the largest inverse document frequency (so that names don't outweigh all else).
 SMOOTH, MAX_IDF = 0.7, 2.5
-#: Words in fewer labelled documents are no terms of the index.
-MIN_LABELLED = 3
+#: A term of the index is a word in at least two labelled documents and in this share of them.
+TERM_SHARE = 0.0005
+#: At most this many distinct labelled passages (those of lowest hash) are examples: a bound on what the sample takes however long its documents are.
+MAX_PASSAGES = 2_000_000
 #: Passages of fewer different terms tell nothing.
 MIN_TERMS = 2
 #: A document with a passage of at least this score counts as abusive.
@@ -120,130 +122,159 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, last
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions start[i] .. start[i] + size[i] - 1 of all i, one after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class BlockMax:
+    """An inverted index over examples with the largest impact of each term in each block of ``BLOCK`` examples.
+
+    A list is a term's blocks, with the largest impact and the postings of each. ``near`` first adds up
+    the largest impacts of the terms' lists for each block, the longest lists (as long as their terms
+    together can't reach the floor) left closed; postings are only opened in blocks whose sum can
+    reach the floor, of all terms. Nothing that reaches it is left out, and its score is exact.
+    Examples should come in an order that puts similar ones together.
+    """
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, impact: np.ndarray, n_terms: int) -> None:
+        order = np.lexsort((example, term))
+        example, term, impact = example[order], term[order], impact[order]
+        self.blocks = int(example.max()) // BLOCK + 1 if len(example) else 1
+        key = term.astype(np.int64) * self.blocks + example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.key = key[first]
+        self.block = (self.key % self.blocks).astype(np.int32)
+        self.start = np.append(first, len(key))
+        self.most = np.maximum.reduceat(impact, first) if len(key) else np.zeros(0)
+        self.inside, self.impact = (example % BLOCK).astype(np.int32), impact
+        # The lists of term t are at[t] : at[t + 1].
+        self.at = np.searchsorted(self.key, np.arange(n_terms + 1, dtype=np.int64) * self.blocks)
+        self.top = np.zeros(n_terms)
+        if len(key):
+            np.maximum.at(self.top, term, impact)
+
+    def near(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, example, score) wherever the score, the sum of weight times impact, reaches the row's ``floor``.
+
+        Row ``r`` has the terms ``term[row == r]``, each once; ``row`` is sorted.
+        """
+        out: list[tuple] = []
+        step = max(1, 2_000_000 // self.blocks)
+        for low in range(0, len(floor), step):
+            a, b = np.searchsorted(row, [low, low + step])
+            if a < b:
+                out += self._near(row[a:b] - low, term[a:b], weight[a:b], floor[low : low + step], low)
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _near(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, floor: np.ndarray, low: int) -> Iterator[tuple]:
+        long = self.at[term + 1] - self.at[term]
+        reach = weight * self.top[term]
+        order = np.lexsort((-long, row))
+        row, term, weight, long, reach = row[order], term[order], weight[order], long[order], reach[order]
+        so_far = np.cumsum(reach)
+        begin = np.searchsorted(row, row)
+        so_far -= np.where(begin > 0, so_far[begin - 1], 0.0)
+        opened = (so_far >= floor[row] - 1e-9) & (long > 0)
+        closed = np.bincount(row, np.where(opened, 0.0, reach), len(floor))
+        lists = _spans(self.at[term[opened]], long[opened])
+        r = np.repeat(row[opened], long[opened])
+        cell = r * self.blocks + self.block[lists]
+        bound = np.bincount(cell, np.repeat(weight[opened], long[opened]) * self.most[lists], len(floor) * self.blocks)
+        hits = np.flatnonzero(bound > 0)
+        hits = hits[bound[hits] >= (floor - closed)[hits // self.blocks] - 1e-6]
+        for some in np.array_split(hits, max(1, len(hits) // 20_000)):
+            if not len(some):
+                continue
+            # All terms of a row, in the blocks in question.
+            owner = some // self.blocks
+            first, n = np.searchsorted(row, owner), np.searchsorted(row, owner, side="right")
+            n = n - first
+            which = _spans(first, n)
+            hit = np.repeat(np.arange(len(some)), n)
+            wanted = term[which].astype(np.int64) * self.blocks + (some % self.blocks)[hit]
+            place = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+            there = self.key[place] == wanted
+            place, hit, w = place[there], hit[there], weight[which[there]]
+            size = self.start[place + 1] - self.start[place]
+            posting = _spans(self.start[place], size)
+            slot = np.repeat(hit, size) * BLOCK + self.inside[posting]
+            score = np.bincount(slot, np.repeat(w, size) * self.impact[posting], len(some) * BLOCK)
+            good = np.flatnonzero(score > 0)
+            good = good[score[good] >= floor[owner[good // BLOCK]]]
+            yield owner[good // BLOCK] + low, (some[good // BLOCK] % self.blocks) * BLOCK + good % BLOCK, score[good]
+
+
 class Examples:
-    """Distinct labelled passages with their label counts, in two exact cosine indexes.
-
-    ``votes`` looks a passage up among all examples: inverted lists with the largest impact of
-    each term; the longest lists, as long as their terms together can't reach ``NEAR``, aren't
-    opened; the examples that the others leave in reach of ``NEAR`` are scored in full. ``gate`` tells which windows have an offending example nearer
-    than ``NEAR``: examples lie in blocks of ``BLOCK`` (similar ones together), each term has its
-    largest impact for each block, and only blocks whose sum of those reaches ``NEAR`` are scored.
-    Both leave out nothing that counts.
+    """Distinct labelled passages with their label counts, in exact cosine indexes by blocks.
+
+    ``votes`` finds all examples near a passage; ``gate`` tells which windows have an offending example
+    (or another chosen one) nearer than ``NEAR``: windows that can't reach it by the terms of the chosen
+    examples at all are left before anything is looked up. Neither leaves out anything that counts.
     """
 
     def __init__(self, bags: list[tuple[int, ...]], clean: list[int], abusive: list[int], docs: list[int], idf: np.ndarray, base: float) -> None:
-        self.idf, self.base, self.docs = idf, base, np.asarray(docs, np.int64)
-        self.clean, self.abusive = np.asarray(clean, np.float64), np.asarray(abusive, np.float64)
+        # Similar examples, by their rarest terms, go into one block.
+        order = sorted(range(len(bags)), key=lambda e: sorted(bags[e], key=lambda t: (-idf[t], t))[:3])
+        self.bags = [bags[e] for e in order]
+        self.idf, self.base, self.docs = idf, base, np.asarray(docs, np.int64)[order]
+        self.clean, self.abusive = np.asarray(clean, np.float64)[order], np.asarray(abusive, np.float64)[order]
+        self.index = BlockMax(*self._impacts(np.arange(len(bags))), len(idf))
+
+    def _impacts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in ``chosen``, term, impact) of these examples; an example's impacts have length one."""
+        bags = [self.bags[e] for e in chosen.tolist()]
         size = np.fromiter(map(len, bags), np.int64, len(bags))
         entry = np.repeat(np.arange(len(bags)), size)
         flat = np.fromiter((t for b in bags for t in b), np.int64, int(size.sum()))
-        pair, tf = np.unique(entry * (len(idf) + 1) + flat, return_counts=True)
-        entry, flat = pair // (len(idf) + 1), pair % (len(idf) + 1)
-        weight = tf * idf[flat]
-        norm = np.sqrt(np.bincount(entry, weight**2, len(bags)))
-        impact = weight / np.maximum(norm[entry], 1e-12)
-        # By example: the terms of example e are term[start[e] : start[e + 1]].
-        self.term, self.impact = flat.astype(np.int32), impact.astype(np.float32)
-        self.start = np.searchsorted(entry, np.arange(len(bags) + 1))
-        # By term: the examples with term t are entry[at[t] : at[t + 1]].
-        order = np.argsort(flat, kind="stable")
-        self.entry, self.posted = entry[order].astype(np.int32), self.impact[order]
-        self.at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
-        self.top = np.zeros(len(idf))
-        np.maximum.at(self.top, flat, impact)
-        self.sums = None  # space for the sums of one look-up, made where it is used
-
-    def votes(self, ids: Sequence[int]) -> tuple[float, int]:
-        """The score of a bag of terms and its nearest example that has an abusive label, or -1."""
-        terms, tf = np.unique(np.asarray(ids), return_counts=True)
-        weight = tf * self.idf[terms]
-        weight = weight / (np.sqrt((weight**2).sum()) or 1)
-        reach, long = weight * self.top[terms], self.at[terms + 1] - self.at[terms]
-        # The longest lists stay closed as long as their terms can't reach NEAR together.
-        order = np.argsort(-long, kind="stable")
-        opened = order[np.cumsum(reach[order]) >= NEAR - 1e-6]
-        if not len(opened):
-            return 0.0, -1
-        rest = NEAR - 1e-5 - (float(reach.sum()) - float(reach[opened].sum()))
-        if self.sums is None:
-            self.sums = np.zeros(len(self.clean), np.float32)
-        sums, lists = self.sums, []
-        for i in opened.tolist():
-            a, b = self.at[terms[i]], self.at[terms[i] + 1]
-            lists.append(self.entry[a:b])
-            sums[lists[-1]] += self.posted[a:b] * weight[i]
-        found = np.concatenate([e[sums[e] >= rest] for e in lists])
-        for e in lists:
-            sums[e] = 0
-        if not len(found):
-            return 0.0, -1
-        found = np.unique(found)
-        query = np.zeros(len(self.idf), np.float32)
-        query[terms] = weight
-        start, size = self.start[found], self.start[found + 1] - self.start[found]
-        first = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) + np.repeat(start - first, size)
-        score = np.add.reduceat(query[self.term[place]] * self.impact[place], first)
-        keep = score >= NEAR
-        near, score = found[keep], score[keep].astype(np.float64)
-        if not len(near):
-            return 0.0, -1
+        return self._unit(entry, flat, len(bags))[:3]
+
+    def _unit(self, entry: np.ndarray, flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        pair, tf = np.unique(entry * (len(self.idf) + 1) + flat, return_counts=True)
+        entry, flat = pair // (len(self.idf) + 1), pair % (len(self.idf) + 1)
+        weight = tf * self.idf[flat]
+        norm = np.sqrt(np.bincount(entry, weight**2, n))
+        return entry, flat, weight / np.maximum(norm[entry], 1e-12), norm
+
+    def votes(self, queries: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each bag of terms its score, and its nearest example that has an abusive label, or -1."""
+        size = np.fromiter(map(len, queries), np.int64, len(queries))
+        flat = np.concatenate([np.asarray(q, np.int64) for q in queries]) if len(queries) else np.zeros(0, np.int64)
+        row, term, weight, _ = self._unit(np.repeat(np.arange(len(queries)), size), flat, len(queries))
+        row, near, score = self.index.near(row, term, weight, np.full(len(queries), NEAR))
         w = score**POWER
-        pos, neg = float(w @ self.abusive[near]), float(w @ self.clean[near])
-        value = (pos + SMOOTH * self.base) / (pos + neg + SMOOTH)
+        pos, neg = np.bincount(row, w * self.abusive[near], len(queries)), np.bincount(row, w * self.clean[near], len(queries))
+        value = np.where(pos + neg > 0, (pos + SMOOTH * self.base) / (pos + neg + SMOOTH), 0.0)
+        best = np.full(len(queries), -1, np.int64)
         bad = self.abusive[near] > 0
-        return value, int(near[bad][np.argmax(score[bad])]) if bad.any() else -1
-
-    def set_offending(self, offending: np.ndarray, bags: list[tuple[int, ...]]) -> None:
-        """Lay out the offending examples in blocks, similar ones (by their rarest terms) together."""
-        rare = lambda e: sorted(bags[e], key=lambda t: (-self.idf[t], t))[:3]
-        chosen = sorted(offending.tolist(), key=rare)
-        used = sorted({t for e in chosen for t in bags[e]})
-        self.rows = np.zeros(len(self.idf) + 1, np.int32)
-        self.rows[used] = np.arange(1, len(used) + 1)
-        blocks = max(1, -(-len(chosen) // BLOCK))
-        cells = np.zeros((len(used) + 1, blocks * BLOCK), np.float32)
-        for k, e in enumerate(chosen):
-            terms, tf = np.unique(np.asarray(bags[e]), return_counts=True)
-            w = tf * self.idf[terms]
-            cells[self.rows[terms], k] = w / np.sqrt((w**2).sum())
-        self.cells = cells.reshape(len(used) + 1, blocks, BLOCK)
-        self.block_top = self.cells.max(axis=2)
+        order = np.lexsort((-near[bad], score[bad], row[bad]))
+        best[row[bad][order]] = near[bad][order]  # the last one of a row is its nearest
+        return value, best
+
+    def choose(self, chosen: np.ndarray) -> None:
+        """Lay out the examples that ``gate`` looks for."""
+        self.chosen = BlockMax(*self._impacts(chosen), len(self.idf))
 
     def gate(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Numbers of the windows with an offending example nearer than ``NEAR``."""
-        idf = np.append(self.idf, 0.0)  # -1 and -2 weigh nothing
+        """Numbers of the windows with a chosen example nearer than ``NEAR``."""
         known = np.where(ids >= 0, ids, len(self.idf))
-        weight = idf[known]
-        row = self.rows[known]
-        top = np.append(0.0, self.block_top.max(axis=1)[1:])[row] * weight
+        weight = np.append(self.idf, 0.0)[known]  # -1 and -2 weigh nothing
         run = lambda x: np.concatenate([[0.0], np.cumsum(x)])
-        square, most = run(weight**2), run(top)
+        square, most = run(weight**2), run(np.append(self.chosen.top, 0.0)[known] * weight)
         # With repeated words the norm is at least the root of this sum, so the bound holds.
         norm = np.sqrt(np.maximum(square[last] - square[first], 1e-12))
         maybe = np.flatnonzero((most[last] - most[first]) / norm >= NEAR - 1e-5)
-        if not len(maybe):
-            return maybe
-        out = []
-        for part in np.array_split(maybe, -(-len(maybe) // 4096)):
-            width = int((last[part] - first[part]).max())
-            place = first[part][:, None] + np.arange(width)
-            inside = place < last[part][:, None]
-            place = np.minimum(place, len(ids) - 1)
-            r, w = np.where(inside, row[place], 0), np.where(inside, weight[place], 0).astype(np.float32)
-            lower = norm[part].astype(np.float32)
-            bound = np.zeros((len(part), self.block_top.shape[1]), np.float32)
-            for j in range(width):
-                bound += self.block_top[r[:, j]] * w[:, j, None]
-            which, block = np.nonzero(bound >= (NEAR - 1e-5) * lower[:, None])
-            hit = np.zeros(len(part), bool)
-            for some in np.array_split(np.arange(len(which)), max(1, -(-len(which) // 8192))):
-                a, b = which[some], block[some]
-                score = np.zeros((len(some), BLOCK), np.float32)
-                for j in range(width):
-                    score += self.cells[r[a, j], b] * w[a, j, None]
-                hit[a[(score.max(axis=1) >= (NEAR - 1e-5) * lower[a])]] = True
-            out.append(part[hit])
+        out = [np.zeros(0, np.int64)]
+        for part in np.array_split(maybe, max(1, len(maybe) // 20_000)):
+            size = last[part] - first[part]
+            place = _spans(first[part], size)
+            row = np.repeat(np.arange(len(part)), size)
+            real = ids[place] >= 0
+            r, t, w, _ = self._unit(row[real], ids[place][real], len(part))
+            found, _, _ = self.chosen.near(r, t, w, np.full(len(part), NEAR - 1e-6))
+            out.append(part[np.unique(found)])
         return np.concatenate(out)
 
 
@@ -261,30 +292,30 @@ def _label_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(words, pa.string()), pa.array(docs, pa.int64()), pa.array(labels, pa.int32())], names=["words", "doc_id", "toxic"])
 
 
-def _encode(documents: DataFrame, vocabulary, keep: list) -> DataFrame:
-    """``doc_id``, the columns ``keep`` and the text as term numbers (two bytes each, plus 2)."""
+def _encode(documents: DataFrame, vocabulary, keep: list, width: str) -> DataFrame:
+    """``doc_id``, the columns ``keep`` and the text as term numbers (plus 2), unsigned integers of ``width``."""
     out = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(vocabulary.value)
         for b in batches:
-            codes = [(np.array(terms.of(t), np.int64) + 2).astype(np.uint16).tobytes() if t else b"" for t in b.column(b.num_columns - 1).to_pylist()]
+            codes = [(np.array(terms.of(t), np.int64) + 2).astype(width).tobytes() if t else b"" for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.record_batch([*b.columns[:-1], pa.array(codes, pa.binary())], names=["doc_id", *[f.name for f in keep], "codes"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[f.name for f in keep], "text").mapInArrow(run, f"doc_id bigint{out}, codes binary")
 
 
-def _codes(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(c, np.uint16).astype(np.int64) - 2 for c in column.to_pylist()]
+def _codes(column: pa.Array, width: str) -> list[np.ndarray]:
+    return [np.frombuffer(c, width).astype(np.int64) - 2 for c in column.to_pylist()]
 
 
-def _frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+def _frequencies(encoded: DataFrame, n_terms: int, width: str) -> tuple[np.ndarray, int]:
     """In how many of all documents each term is, and how many documents there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(n_terms + 2, np.int64), 0
         for b in batches:
-            for ids in _codes(b.column(0)):
+            for ids in _codes(b.column(0), width):
                 n += 1
                 seen[np.unique(ids)] += 1
         ids = np.flatnonzero(seen[:-2])
@@ -302,12 +333,15 @@ def _passages(documents: DataFrame, labels: DataFrame, max_labels: int, scratch:
     return scratch.save(labelled.mapInArrow(_label_bags, "words string, doc_id bigint, toxic int").distinct())
 
 
-def _examples(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, base: float) -> Examples:
-    """The index of the labelled passages; those that their own neighbours call abusive are the offending ones."""
+def _examples(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, base: float, graded: bool, max_passages: int) -> Examples:
+    """The index of the labelled passages; those that their own neighbours call abusive are the offending ones.
+
+    ``gate`` is to find windows near offending examples, or, ``graded``, near any with an abusive label.
+    """
     spark = passages.sparkSession
     merged: dict[tuple[int, ...], list[int]] = {}
     grouped = passages.groupBy("words").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("bad"), F.min(F.when(F.col("toxic") > 0, F.col("doc_id"))).alias("doc"))
-    for r in grouped.collect():
+    for r in grouped.orderBy(F.xxhash64("words"), "words").limit(max_passages).collect():  # bounded: see max_passages
         key = tuple(sorted(vocabulary[w] for w in r["words"].split(" ") if w in vocabulary))
         if len(set(key)) >= MIN_TERMS:
             now = merged.setdefault(key, [0, 0, -1])
@@ -317,22 +351,25 @@ def _examples(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray,
                 now[2] = r["doc"]
     keys = sorted(merged)
     examples = Examples(keys, [merged[k][0] for k in keys], [merged[k][1] for k in keys], [merged[k][2] for k in keys], idf, base)
+    bad = np.flatnonzero(examples.abusive > 0)
+    if graded:
+        examples.choose(bad)
+        return examples
     shared = spark.sparkContext.broadcast(examples)
 
     def self_vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            votes = [shared.value.votes(t)[0] for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(votes, pa.float64())], names=["e", "v"])
+            found = b.column(0).to_pylist()
+            yield pa.record_batch([b.column(0), pa.array(shared.value.votes([shared.value.bags[e] for e in found])[0], pa.float64())], names=["e", "v"])
 
-    bad = [(int(i), list(keys[i])) for i in np.flatnonzero(examples.abusive > 0)]
-    listed = spark.createDataFrame(bad, "e bigint, terms array<int>").repartition(max(1, spark.sparkContext.defaultParallelism), "e")
+    listed = spark.createDataFrame([(int(e),) for e in bad], "e bigint").repartition(max(1, spark.sparkContext.defaultParallelism), "e")
     voted = listed.mapInArrow(self_vote, "e bigint, v double").where(F.col("v") >= OFFENDING).collect()
     shared.destroy()
-    examples.set_offending(np.array(sorted(r["e"] for r in voted), np.int64), keys)
+    examples.choose(np.array(sorted(r["e"] for r in voted), np.int64))
     return examples
 
 
-def score(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), max_labels: int = MAX_LABELS) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), max_labels: int = MAX_LABELS, graded: bool = False, max_passages: int = MAX_PASSAGES) -> DataFrame:
     """``doc_id``, the columns ``keep``, ``score``, ``passage`` and ``example_doc_id`` for every document.
 
     Labels are of whole documents, so a passage inherits its document's. Harmless passages of
@@ -341,7 +378,11 @@ def score(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), m
     ``max_labels`` documents; document frequencies are counted over all documents.
 
     A document's score is the largest of its passages': the cosine-weighted share of abusive labels
-    among the labelled passages nearer than ``NEAR``, 0 where none of these is an offending example.
+    among the labelled passages nearer than ``NEAR``, 0 where none of these is an offending example
+    (or, ``graded``, where none has an abusive label: what is near harmless passages of abusive
+    documents then has the small score of its vote). The vectors' terms are the words in at least
+    two labelled documents and ``TERM_SHARE`` of them; the cosine is exact over these, other words
+    are as if they weren't there.
     ``passage`` is that passage's terms, ``example_doc_id`` the labelled document of its nearest
     abusive example: the evidence. Whole texts are read, once: the term numbers go to the shared
     folder for the counts and the scores.
@@ -358,22 +399,23 @@ def score(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), m
     if not totals["bad"]:
         zero = [F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("passage"), F.lit(None).cast("long").alias("example_doc_id")]
         return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[f.name for f in extra], *zero)
-    least = MIN_LABELLED if totals["n"] >= 2000 else 2
+    least = max(2.0, TERM_SHARE * totals["n"])
     in_labelled = passages.select("doc_id", F.explode(F.split("words", " ")).alias("term")).where("term <> ''").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    # Two bytes number the terms; a sample of max_labels documents has far fewer.
-    words = [r["term"] for r in in_labelled.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(65_000).collect()]
+    # Words of the bounded sample, two or four bytes a number.
+    words = [r["term"] for r in in_labelled.where(F.col("n") >= least).orderBy(F.desc("n"), "term").collect()]
+    width = "uint16" if len(words) + 2 <= 1 << 16 else "uint32"
     vocabulary = {w: i for i, w in enumerate(words)}
-    encoded = scratch.save(_encode(documents, spark.sparkContext.broadcast(vocabulary), extra))
-    found, all_docs = _frequencies(encoded, len(words))
+    encoded = scratch.save(_encode(documents, spark.sparkContext.broadcast(vocabulary), extra, width))
+    found, all_docs = _frequencies(encoded, len(words), width)
     idf = np.minimum(MAX_IDF, np.log((all_docs + 1) / (found + 1)) + 0.3)
-    model = spark.sparkContext.broadcast((words, _examples(passages, vocabulary, idf, totals["bad"] / totals["n"])))
+    model = spark.sparkContext.broadcast((words, _examples(passages, vocabulary, idf, totals["bad"] / totals["n"], graded, max_passages)))
     out = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, examples = model.value
         cache: dict[bytes, tuple[float, int]] = {}
         for b in batches:
-            texts = _codes(b.column(b.num_columns - 1))
+            texts = _codes(b.column(b.num_columns - 1), width)
             value, passage, source = np.zeros(len(texts)), [None] * len(texts), [None] * len(texts)
             at = 0
             while at < len(texts):
@@ -387,20 +429,27 @@ def score(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), m
                 first, last = windows(ids)
                 if not len(first):
                     continue
+                passed: list[tuple[int, bytes]] = []
+                asked: dict[bytes, np.ndarray] = {}
                 for k in examples.gate(ids, first, last).tolist():
                     part = ids[first[k] : last[k]]
                     key = np.sort(part[part >= 0])
                     if key[0] == key[-1]:
                         continue
                     name = key.tobytes()
-                    got = cache.get(name)
-                    if got is None:
-                        if len(cache) > 200_000:
-                            cache.clear()
-                        got = cache[name] = examples.votes(key)
+                    passed.append((k, name))
+                    if name not in cache:
+                        asked[name] = key
+                if asked:
+                    if len(cache) > 200_000:
+                        cache = {name: cache[name] for _, name in passed if name in cache}
+                    cache.update(zip(asked, zip(*(v.tolist() for v in examples.votes(list(asked.values()))))))
+                for k, name in passed:
+                    got = cache[name]
                     doc = start + int(np.searchsorted(doc_end, first[k], side="right"))
                     if got[0] > value[doc]:
-                        value[doc], passage[doc] = got[0], " ".join(names[i] for i in part.tolist() if i >= 0)
+                        value[doc] = got[0]
+                        passage[doc] = " ".join(names[i] for i in ids[first[k] : last[k]].tolist() if i >= 0)
                         source[doc] = int(examples.docs[got[1]]) if got[1] >= 0 else None
             yield pa.record_batch(
                 [*b.columns[:-1], pa.array(np.round(value, 6)), pa.array(passage, pa.string()), pa.array(source, pa.int64())],
@@ -410,8 +459,8 @@ def score(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), m
     return encoded.mapInArrow(run, f"doc_id bigint{out}, score double, passage string, example_doc_id bigint")
 
 
-def _scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), keep)
+def _scored(spark: SparkSession, sf_dir: str, *keep: str, graded: bool = False) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), keep, graded=graded)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,10 +468,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, "source")
+    """Every document's score, graded also where no offending example is near."""
+    return _scored(spark, sf_dir, "source", graded=True)
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, abusive documents and their rate for each source; a null source is a row of its own."""
     bad = F.sum((F.col("score") >= THRESHOLD).cast("long"))
     return _scored(spark, sf_dir, "source").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), bad.alias("abusive")).withColumn("rate", F.col("abusive") / F.col("documents"))
+
+
+def p9_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often documents of each tenth of the score carry an abusive label, for labels that weren't used: two of three are, by hash."""
+    labels = table(spark, sf_dir, "review_labels").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == 0
+    scored = score(table(spark, sf_dir, "documents"), labels.where(~held), graded=True).select("doc_id", "score")
+    tenth = F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("long")
+    by = scored.join(labels.where(held), "doc_id").groupBy(tenth.alias("tenth"))
+    return by.agg(F.count(F.lit(1)).alias("documents"), F.sum("toxic").cast("long").alias("labelled_abusive"), F.avg("score").alias("mean_score"), F.avg("toxic").alias("label_rate"))

@@ -46,15 +46,18 @@ def test_index_is_exact():
     bags = sorted({tuple(sorted(rng.integers(0, 60, rng.integers(2, 9)).tolist())) for _ in range(600)})
     clean, bad = rng.integers(1, 3, len(bags)).tolist(), rng.integers(0, 2, len(bags)).tolist()
     e = T.Examples(bags, clean, bad, list(range(len(bags))), idf, 0.13)
-    for _ in range(200):
-        q = rng.integers(0, 60, rng.integers(2, 9))
-        assert e.votes(q)[0] == pytest.approx(brute(bags, clean, bad, idf, 0.13, q), abs=1e-4)
-    offending = np.flatnonzero(np.array(bad) > 0)
-    e.set_offending(offending, bags)
+    queries = [rng.integers(0, 60, rng.integers(2, 9)) for _ in range(200)]
+    got, best = e.votes(queries)
+    for q, v, b in zip(queries, got, best):
+        assert v == pytest.approx(brute(bags, clean, bad, idf, 0.13, q), abs=1e-4)
+        assert b < 0 or e.abusive[b] > 0
+    assert e.votes([])[0].tolist() == []
+    offending = np.flatnonzero(e.abusive > 0)
+    e.choose(offending)
     ids = rng.integers(-2, 60, 4000)
     first, last = T.windows(ids)
     passed = set(e.gate(ids, first, last).tolist())
-    vectors = np.array([np.bincount(bags[o], minlength=60) * idf for o in offending])
+    vectors = np.array([np.bincount(e.bags[o], minlength=60) * idf for o in offending])
     vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
     for k, (s, t) in enumerate(zip(first, last)):
         part = ids[s:t][ids[s:t] >= 0]
