@@ -79,11 +79,11 @@ def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[name_fold(F.col(f"{s}_entity_name")).alias(f"{s}_name") for s in ("source", "target")],
     ).distinct()
     merges = Scratch(spark, "links").save(merges)
-    ends = merges
+    ends, rows = merges, merges.count()
     for side in ("source", "target"):
         by = F.when(F.col(f"{side}_id").isNull(), F.col(f"{side}_name"))
-        hot_ids = hot_keys(merges, f"{side}_id")
-        hot_names = hot_keys(merges.select(by.alias("name_key")), "name_key")
+        hot_ids = hot_keys(merges, f"{side}_id", rows=rows)
+        hot_names = hot_keys(merges.select(by.alias("name_key")), "name_key", rows=rows)
         ends = lookup_join(ends.withColumn("known", F.col(f"{side}_id")), by_id.withColumn("_ok", F.lit(True)), "known", "left", hot=hot_ids).withColumn(f"{side}_ok", F.col("_ok")).drop("known", "_ok")
         ends = lookup_join(ends.withColumn("name_key", by), by_name, "name_key", "left", hot=hot_names)
         end = F.when(F.col(f"{side}_id").isNull(), F.col("named")).when(F.col(f"{side}_ok"), F.col(f"{side}_id"))

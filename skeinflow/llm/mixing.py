@@ -72,14 +72,13 @@ def plan_rates(sizes: dict[str, int], targets: dict[str, tuple[float, int]], tot
 TOLERANCE = 0.001
 
 
-def tuned_steps(sized: DataFrame, rates: dict[str, float], sizes: dict[str, int], caps: dict[str, int], u: Column, grid: int = 12, tolerance: float = TOLERANCE) -> dict[str, list[float]]:
+def tuned_steps(sized: DataFrame, rates: dict[str, float], sizes: dict[str, int], caps: dict[str, int], u: Column, documents: dict[str, int], grid: int = 12, tolerance: float = TOLERANCE) -> dict[str, list[float]]:
     """For each source the steps of the Poisson mean whose drawn tokens come nearest to ``rates * sizes``.
 
     What is drawn is monotone in the mean. Every pass is one aggregation over ids and sizes that
     tries ``grid`` means for each source still open and keeps the interval around its goal. A source
-    is done within ``tolerance``, or when the ends of its interval draw the same or neighbouring
-    amounts that no mean between them splits (a few hundred bits of the mean are never reached:
-    intervals shrink ``grid``-fold, so after 14 passes they are below the precision of the numbers).
+    is done within ``tolerance``, or when its interval is a thousandth of the mean distance of its
+    documents' hashes, so that no mean inside it draws anything else; intervals shrink ``grid``-fold.
     """
     best: dict[str, float] = {}
     low, high, error = {}, {}, {}
@@ -104,7 +103,7 @@ def tuned_steps(sized: DataFrame, rates: dict[str, float], sizes: dict[str, int]
             below = [i for i in range(grid) if drawn[s][i] <= goal]
             k = below[-1] if below else -1
             low[s], high[s] = (tries[s][k] if k >= 0 else low[s]), tries[s][min(k + 1, grid - 1)]
-            if error[s] <= tolerance * goal or high[s] - low[s] <= 1e-12 * max(high[s], 1e-300):
+            if error[s] <= tolerance * goal or high[s] - low[s] <= max(1e-3 / documents[s], 1e-13) * high[s]:
                 open_sources.discard(s)
     return {s: poisson_steps(best[s], caps[s]) for s in rates}
 
@@ -124,13 +123,14 @@ def mixture(sized: DataFrame, targets: dict[str, tuple[float, int]], seed: int =
     """
     sized = sized.where("tokens > 0 AND doc_id IS NOT NULL").where(F.col("source").isin(list(targets)))
     sized = Scratch(sized.sparkSession, "mixture").save(sized.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens")))
-    sizes = {r["source"]: int(r["t"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    found = sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()  # a row for each target
+    sizes, documents = {r["source"]: int(r["t"]) for r in found}, {r["source"]: r["n"] for r in found}
     total, rates = plan_rates(sizes, targets, total)
     u = _uniform(seed, "doc_id")
     if not rates:
         chosen = sized.where(F.lit(False)).withColumn("times", F.lit(0).cast("long"))
     else:
-        steps = _by_source(tuned_steps(sized, rates, sizes, {s: targets[s][1] for s in rates}, u, tolerance=tolerance))[F.col("source")]
+        steps = _by_source(tuned_steps(sized, rates, sizes, {s: targets[s][1] for s in rates}, u, documents, tolerance=tolerance))[F.col("source")]
         chosen = sized.where(F.col("source").isin(list(rates))).withColumn("times", _times(steps, u)).where("times > 0")
     copies = chosen.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy_no"))
     return copies.withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.lit(seed + 1))).orderBy("shuffle_key", "doc_id", "copy_no")
