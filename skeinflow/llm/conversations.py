@@ -8,15 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions.text import is_blank, trimmed
-from skeinflow.operators.skew import hot_keys, lookup_join, sieve
+from skeinflow.operators.skew import hot_keys, lookup_join
 from skeinflow.plans.messages import MESSAGES, config_in_force
 from skeinflow.runtime import Scratch, table
 
 
-#: Unfinished nodes from which on it pays to look for the nodes they point at before the shuffle.
-SIEVE_ROWS = 50_000
-
-
 def reply_paths(nodes: DataFrame, node: str, parent: str, unique: bool = False) -> DataFrame:
     """Resolve parent pointers by pointer jumping.
 
@@ -28,8 +24,7 @@ def reply_paths(nodes: DataFrame, node: str, parent: str, unique: bool = False)
 
     In each round every unfinished node replaces its pointer by its pointer's pointer and adds up
     the distances, so a chain of length n takes log2(n) rounds. A round is one join of the
-    unfinished nodes with the nodes they point at, which a sieve picks out before large shuffles;
-    pointers that many nodes share (a root with most of the replies) are split off by
+    unfinished nodes with the nodes they point at; pointers that many nodes share (a root with most of the replies) are split off by
     ``lookup_join``. After log2(rows) + 1 rounds whatever is unfinished runs in a cycle. Each
     round's table goes to the shared folder. Nodes are best numbers: pointers are all that moves.
     """
@@ -59,8 +54,6 @@ def reply_paths(nodes: DataFrame, node: str, parent: str, unique: bool = False)
         everything = active
         for part in finished:
             everything = everything.unionByName(part)
-        if left > SIEVE_ROWS and left < rows // 2:
-            everything = everything.where(sieve(active, "ptr")(F.col("node")))
         target = everything.select(F.col("node").alias("ptr"), F.col("ptr").alias("up"), F.col("depth").alias("more"), F.col("state").alias("ends"))
         jumped = lookup_join(active.select("node", "ptr", "depth"), target, "ptr", hot=hot_keys(active, "ptr", rows=left)).select(
             "node",
