@@ -24,7 +24,7 @@ NEAR, POWER = 0.5, 4
 SMOOTH, MAX_IDF = 0.7, 2.5
 #: A term of the index is a word in at least two labelled documents and in this share of them.
 TERM_SHARE = 0.0005
-#: At most this many distinct labelled passages (those of lowest hash) are examples: a bound on what the sample takes however long its documents are.
+#: At most about this many distinct labelled passages (those of lowest hash) are examples: a bound on what the sample takes however long its documents are.
 MAX_PASSAGES = 2_000_000
 #: Passages of fewer different terms tell nothing.
 MIN_TERMS = 2
@@ -157,7 +157,7 @@ class BlockMax:
     def near(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, example, score) wherever the score, the sum of weight times impact, reaches the row's ``floor``.
 
-        Row ``r`` has the terms ``term[row == r]``, each once; ``row`` is sorted.
+        Row ``r`` has the terms ``term[row == r]``; ``row`` is sorted.
         """
         out: list[tuple] = []
         step = max(1, 2_000_000 // self.blocks)
@@ -266,14 +266,16 @@ class Examples:
         # With repeated words the norm is at least the root of this sum, so the bound holds.
         norm = np.sqrt(np.maximum(square[last] - square[first], 1e-12))
         maybe = np.flatnonzero((most[last] - most[first]) / norm >= NEAR - 1e-5)
+        listed = np.append(self.chosen.top > 0, False)
         out = [np.zeros(0, np.int64)]
         for part in np.array_split(maybe, max(1, len(maybe) // 20_000)):
             size = last[part] - first[part]
             place = _spans(first[part], size)
             row = np.repeat(np.arange(len(part)), size)
-            real = ids[place] >= 0
-            r, t, w, _ = self._unit(row[real], ids[place][real], len(part))
-            found, _, _ = self.chosen.near(r, t, w, np.full(len(part), NEAR - 1e-6))
+            # Terms that no chosen example has count in the norm only.
+            real = listed[known[place]]
+            t, r = ids[place][real], row[real]
+            found, _, _ = self.chosen.near(r, t, self.idf[t] / norm[part][r], np.full(len(part), NEAR - 1e-6))
             out.append(part[np.unique(found)])
         return np.concatenate(out)
 
@@ -341,7 +343,11 @@ def _examples(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray,
     spark = passages.sparkSession
     merged: dict[tuple[int, ...], list[int]] = {}
     grouped = passages.groupBy("words").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("bad"), F.min(F.when(F.col("toxic") > 0, F.col("doc_id"))).alias("doc"))
-    for r in grouped.orderBy(F.xxhash64("words"), "words").limit(max_passages).collect():  # bounded: see max_passages
+    grouped = Scratch(spark, "passages").save(grouped)
+    distinct = grouped.count()
+    if distinct > max_passages:
+        grouped = grouped.where(F.pmod(F.xxhash64("words"), F.lit(1 << 31)) < int((1 << 31) * max_passages / distinct))
+    for r in grouped.collect():  # bounded: see MAX_PASSAGES
         key = tuple(sorted(vocabulary[w] for w in r["words"].split(" ") if w in vocabulary))
         if len(set(key)) >= MIN_TERMS:
             now = merged.setdefault(key, [0, 0, -1])
