@@ -336,6 +336,8 @@ def learn_context(names: DataFrame, scratch: Scratch) -> Context:
 
 #: Roots of one deletion part that are compared in one task; parts of more are cut into blocks.
 PART_BLOCK = 500
+#: Parts of more than three roots that are broadcast (16 bytes each); more of them meet the parts in a shuffle.
+MANY_PARTS = 500_000
 
 
 def _near_roots(roots: DataFrame, scratch: Scratch) -> DataFrame:
@@ -363,11 +365,19 @@ def _near_roots(roots: DataFrame, scratch: Scratch) -> DataFrame:
     spread = roots.repartition(max(roots.sparkSession.sparkContext.defaultParallelism, roots.count() // 20_000), "root")
     parts = spread.mapInArrow(expand, "id bigint, part bigint")
     # A part belongs to a few roots; those of one root alone are most of them and fall away in the aggregate.
-    few = F.count(F.lit(1)).alias("n")
-    bounds = scratch.save(parts.groupBy("part").agg(F.min("id").alias("low"), F.max("id").alias("high"), few).where("n > 1"))
-    pairs = bounds.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    many = bounds.where("n > 2").select("part", F.ceil(F.col("n") / PART_BLOCK).cast("int").alias("blocks"))
-    held = scratch.save(lookup_join(parts, many, "part").select("part", "id", "blocks", F.pmod(F.hash("id"), F.col("blocks")).alias("mine")))
+    # With their smallest, their largest and the exclusive or of all, up to three roots are known without a list of them.
+    known = [F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all"), F.count(F.lit(1)).alias("n")]
+    bounds = scratch.save(parts.groupBy("part").agg(*known).where("n > 1"))
+    middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    pairs = bounds.where("n <= 3").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    three = bounds.where("n = 3").select("low", middle.alias("mid"), "high")
+    pairs = pairs.unionByName(three.select(F.col("low").alias("a"), F.col("mid").alias("b"))).unionByName(three.select(F.col("mid").alias("a"), F.col("high").alias("b")))
+    many = bounds.where("n > 3").select("part", F.ceil(F.col("n") / PART_BLOCK).cast("int").alias("blocks"))
+    if many.count() <= MANY_PARTS:
+        met = parts.join(F.broadcast(many), "part")
+    else:
+        met = lookup_join(parts, many, "part")
+    held = scratch.save(met.select("part", "id", "blocks", F.pmod(F.hash("id"), F.col("blocks")).alias("mine")))
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = held.select("part", F.col("id").alias("a"), "mine", all_blocks.alias("theirs"))
     right = held.select("part", F.col("id").alias("b"), F.col("mine").alias("theirs"), all_blocks.alias("mine"))
