@@ -35,6 +35,18 @@ def reachable_minimum(edges: DataFrame, a: str, b: str) -> DataFrame:
             return labels.select(F.col("x").alias("vertex"), F.col("c").alias("component"))
 
 
+def reachable_from(edges: DataFrame, a: str, b: str, starts: DataFrame, start: str) -> DataFrame:
+    """``start, vertex``: what each start is linked with, directly or through others; a start reaches itself.
+
+    Links have no direction, so this is the start's component; starts without a link are alone.
+    """
+    groups = Scratch(edges.sparkSession, "reached").save(reachable_minimum(edges, a, b))
+    begun = starts.select(F.col(start).alias("start")).where("start IS NOT NULL").distinct()
+    of_start = begun.join(groups.select(F.col("vertex").alias("start"), "component"), "start", "left")
+    linked = lookup_join(groups, of_start.where("component IS NOT NULL").select("component", "start"), "component", unique=False).select("start", "vertex")
+    return linked.unionByName(of_start.where("component IS NULL").select("start", F.col("start").alias("vertex")))
+
+
 def final_targets(moves: DataFrame, source: str, target: str) -> DataFrame:
     """``source, final, hops``: where a chain of merges ends. Sources that run in a cycle have a null ``final``.
 
@@ -63,8 +75,9 @@ def weighted_edges(edges: DataFrame, source: str, target: str, kind: str, weight
     return edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(source, target, kind).agg(F.count(F.lit(1)).alias("evidence"), strongest.alias("weight"))
 
 
-def degrees(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """``node, outgoing, incoming`` over the distinct edges."""
-    pairs = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s IS NOT NULL AND t IS NOT NULL").distinct()
+def degrees(edges: DataFrame, source: str, target: str, distinct: bool = True) -> DataFrame:
+    """``node, outgoing, incoming`` over the distinct edges, or over all."""
+    pairs = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s IS NOT NULL AND t IS NOT NULL")
+    pairs = pairs.distinct() if distinct else pairs
     ends = pairs.select(F.col("s").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(pairs.select(F.col("t").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy("node").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +103,36 @@ def mentions(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: st
     return lookup_join(counted, keyed, "_name", unique=False).groupBy("_doc", "_entity").agg(F.sum("_n").alias("mentions")).select(F.col("_doc").alias(doc), F.col("_entity").alias(entity), "mentions")
 
 
+def named(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: str, name: str) -> DataFrame:
+    """``doc, entity, name``: each name (in key form) that stands in a text as whole words, once; null and empty ones give no rows."""
+    keyed = names.select(F.col(entity).alias("_entity"), name_key(F.col(name)).alias("_name")).where("_name <> ''").distinct()
+    found = lookup_join(_found_names(texts, doc, text, keyed).select("_doc", "_name"), keyed, "_name", unique=False).distinct()
+    return found.select(F.col("_doc").alias(doc), F.col("_entity").alias(entity), F.col("_name").alias("name"))
+
+
+def pairs_around(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: str, name: str, triggers: Mapping[str, bool]) -> DataFrame:
+    """``doc, trigger, source, target``: the nearest names before and after the first of each trigger phrase in a text.
+
+    Before is what ends at the trigger or earlier, the last one to end (then the shorter); after is
+    what begins behind it, the first to begin (then the shorter). A trigger that maps to true names the
+    later state first: its source is behind it. A name of several entities means the smallest. Texts
+    without either, or with one entity on both sides, give no row. What is gathered is one text's mentions.
+    """
+    own = names.select(F.col(entity).cast("string").alias("_entity"), name_key(F.col(name)).alias("_name")).where("_name <> ''").groupBy("_name").agg(F.min("_entity").alias("_entity"))
+    phrases = names.sparkSession.createDataFrame([(t,) for t in triggers], "_name string")
+    marked = own.withColumn("_trigger", F.lit(False)).unionByName(phrases.select(F.lit(None).cast("string").alias("_entity"), "_name", F.lit(True).alias("_trigger")))
+    found = lookup_join(_found_names(texts, doc, text, marked), marked, "_name", unique=False).select("_doc", "_name", "_entity", "_trigger", F.size(F.split("_name", " ")).alias("_size"), F.explode("_at").alias("_i"))
+    first = found.where("_trigger").groupBy("_doc", F.col("_name").alias("trigger")).agg(F.min(F.struct("_i", "_size")).alias("f")).select("_doc", "trigger", F.col("f._i").alias("_from"), (F.col("f._i") + F.col("f._size")).alias("_to"))
+    spots = found.where("NOT _trigger").select("_doc", "_entity", F.col("_i").alias("_s"), (F.col("_i") + F.col("_size")).alias("_e"))
+    near = first.join(spots, "_doc").groupBy("_doc", "trigger").agg(
+        F.max(F.when(F.col("_e") <= F.col("_from"), F.struct("_e", "_s", "_entity")))["_entity"].alias("before"),
+        F.min(F.when(F.col("_s") >= F.col("_to"), F.struct("_s", "_e", "_entity")))["_entity"].alias("after"),
+    )
+    back = F.col("trigger").isin([t for t, turned in triggers.items() if turned])
+    rows = near.where("before <> after").select(F.col("_doc").alias(doc), "trigger", F.when(back, F.col("after")).otherwise(F.col("before")).alias("source"), F.when(back, F.col("before")).otherwise(F.col("after")).alias("target"))
+    return rows
+
+
 def first_links(texts: DataFrame, doc: str, text: str, names: DataFrame, entity: str, name: str) -> DataFrame:
     """``doc, entity, word_no, words``: where a text would link to each entity.
 

@@ -117,3 +117,16 @@ def last_before(points: DataFrame, events: DataFrame, key: str, at: str, value:
     found = rows.join(carried, ["_k", "_block"]).withColumn("_last", F.greatest(running("_value", here), F.col("_carry")) if largest else F.coalesce(running("_value", here), F.col("_carry"))).where("_point = 1")
     done = found.select("_row.*", F.col("_last").alias(out))
     return done.unionByName(points.where(~F.coalesce(valid, F.lit(False))).withColumn(out, F.lit(None).cast(happened.schema["_value"].dataType)))
+
+
+def previous(rows: DataFrame, key: str, order: Sequence[str], value: str, keep: int, out: str = "previous") -> DataFrame:
+    """Each row with the list of its key's last ``keep`` values before it, in order.
+
+    Windows run over blocks of a key's rows, to which the rows before a block are lent, so a hot
+    key is many tasks. Null keys are a key of their own; null values are skipped.
+    """
+    block = max(BLOCK, keep)
+    placed = numbered_per_key(rows, key, order, "_n").withColumn("_own", F.expr(f"(_n - 1) div {block}"))
+    lent = placed.withColumn("_block", F.explode(F.array_distinct(F.array(F.col("_own"), F.expr(f"(_n - 1 + {keep}) div {block}")))))
+    w = Window.partitionBy(key, "_block").orderBy("_n").rowsBetween(-keep, -1)
+    return lent.withColumn(out, F.collect_list(value).over(w)).where("_own = _block").drop("_n", "_own", "_block", "_seq")
