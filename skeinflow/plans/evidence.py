@@ -142,7 +142,13 @@ QUERIES = {
 }
 _REACH = "r AS (SELECT a AS v, least(a, b) AS low FROM d UNION SELECT d.b, r.low FROM r JOIN d ON d.a = r.v)"
 _OWNER = "(SELECT self_user_id FROM pipeline_config WHERE enabled AND section = 'conversation_segmentation' ORDER BY config_id LIMIT 1)"
+_NAMED = f"(SELECT name, min(entity_id) AS entity_id FROM (SELECT entity_id, {KEY % 'canonical_name'} AS name FROM entity_seed) WHERE name <> '' GROUP BY 1)"
 SQL = {
+    "page_links": f"""WITH RECURSIVE n AS {_NAMED}, w AS (SELECT doc_id, string_split({KEY % 'text'}, ' ') AS words FROM documents WHERE text IS NOT NULL), z AS (SELECT DISTINCT len(string_split(name, ' ')) AS size FROM n),
+      g AS (SELECT doc_id, i - 1 AS p, size, array_to_string(list_slice(words, i, i + size - 1), ' ') AS name FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, z WHERE len(words) >= size)),
+      s AS (SELECT doc_id, p, size, entity_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, size DESC) AS k FROM g JOIN n USING (name)),
+      f AS (SELECT doc_id, k, p, size, entity_id, p + size AS upto, true AS taken FROM s WHERE k = 1 UNION ALL SELECT s.doc_id, s.k, s.p, s.size, s.entity_id, CASE WHEN s.p < f.upto THEN f.upto ELSE s.p + s.size END, s.p >= f.upto FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k + 1)
+      SELECT doc_id, entity_id, CAST(min(p) AS BIGINT) AS word_no, CAST(arg_min(size, (p, -size)) AS BIGINT) AS words FROM f WHERE taken GROUP BY 1, 2""",
     "segment_scores": """WITH s AS (SELECT conversation_id, coalesce(len(anchor_entities), 0) AS a, topic_label IS NOT NULL AS t, message_count >= 8 AS m, coalesce(track = 'meta', false) AS k FROM conversation_segments),
       p AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.34::DOUBLE * (a > 0)::INT + least(0.36::DOUBLE, 0.12::DOUBLE * a) + 0.12::DOUBLE * t::INT + 0.1::DOUBLE * m::INT - 0.16::DOUBLE * k::INT)) AS s FROM s)
       SELECT conversation_id, round(CASE WHEN a > 0 OR t THEN s ELSE least(s, 0.18::DOUBLE) END, 4) AS score FROM p""",

@@ -23,14 +23,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def pages(spark: SparkSession, root: str) -> DataFrame:
-    """Messages of all JSON pages below ``root``, with the ``file`` each comes from.
+def pages(spark: SparkSession, root: str, names: str = "*.json") -> DataFrame:
+    """Messages of all JSON pages (files called ``names``) below ``root``, with the ``file`` each comes from.
 
     A page is a JSON array of messages. Pages that can't be read or hold something else give one
     row with ``damaged`` instead of messages, so a bad file is reported and stops nothing.
     """
     schema = T.StructType([*schemas.RAW_MESSAGE.fields, T.StructField("damaged", T.StringType())])
-    raw = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "damaged").json(root)
+    raw = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "damaged").json(root)
     return raw.withColumn("file", F.col("_metadata.file_path"))
 
 
