@@ -33,6 +33,8 @@ THRESHOLD = 0.5
 #: A passage of an abusive document is an offending example if its own neighbours' vote is at least this.
 OFFENDING = 0.5
 BLOCK = 64
+#: Up to this many blocks, the largest impacts of a term are kept as one row of numbers.
+DENSE_BLOCKS = 64
 
 # Letters of other scripts that look like Latin ones, and digits and signs typed for letters.
 _LOOKALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
@@ -153,6 +155,13 @@ class BlockMax:
         self.top = np.zeros(n_terms)
         if len(key):
             np.maximum.at(self.top, term, impact)
+        self.dense = None
+        used = np.flatnonzero(self.at[1:] > self.at[:-1])
+        if self.blocks <= DENSE_BLOCKS:
+            self.slot = np.zeros(n_terms, np.int64)
+            self.slot[used] = np.arange(1, len(used) + 1)
+            self.dense = np.zeros((len(used) + 1, self.blocks))
+            self.dense[self.slot[self.key // self.blocks], self.block] = self.most
 
     def near(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, example, score) wherever the score, the sum of weight times impact, reaches the row's ``floor``.
@@ -170,6 +179,13 @@ class BlockMax:
         return tuple(np.concatenate(c) for c in zip(*out))
 
     def _near(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, floor: np.ndarray, low: int) -> Iterator[tuple]:
+        if self.dense is not None:
+            # Few blocks: the largest impacts of all of them are added up at once.
+            begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            bound = np.add.reduceat(self.dense[self.slot[term]] * weight[:, None], begin, axis=0)
+            at, block = np.nonzero(bound >= floor[row[begin]][:, None] - 1e-6)
+            yield from self._opened(row, term, weight, floor, low, row[begin][at] * self.blocks + block)
+            return
         long = self.at[term + 1] - self.at[term]
         reach = weight * self.top[term]
         order = np.lexsort((-long, row))
@@ -185,6 +201,10 @@ class BlockMax:
         bound = np.bincount(cell, np.repeat(weight[opened], long[opened]) * self.most[lists], len(floor) * self.blocks)
         hits = np.flatnonzero(bound > 0)
         hits = hits[bound[hits] >= (floor - closed)[hits // self.blocks] - 1e-6]
+        yield from self._opened(row, term, weight, floor, low, hits)
+
+    def _opened(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, floor: np.ndarray, low: int, hits: np.ndarray) -> Iterator[tuple]:
+        """Exact scores in the blocks ``hits`` (row * blocks + block)."""
         for some in np.array_split(hits, max(1, len(hits) // 20_000)):
             if not len(some):
                 continue
@@ -198,6 +218,9 @@ class BlockMax:
             place = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
             there = self.key[place] == wanted
             place, hit, w = place[there], hit[there], weight[which[there]]
+            # With the closed lists' largest impacts in it, the bound leaves few blocks to open.
+            full = np.bincount(hit, w * self.most[place], len(some)) >= floor[owner] - 1e-6
+            place, hit, w = place[full[hit]], hit[full[hit]], w[full[hit]]
             size = self.start[place + 1] - self.start[place]
             posting = _spans(self.start[place], size)
             slot = np.repeat(hit, size) * BLOCK + self.inside[posting]
