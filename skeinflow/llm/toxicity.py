@@ -35,6 +35,8 @@ OFFENDING = 0.5
 BLOCK = 64
 #: Up to this many blocks, the largest impacts of a term are kept as one row of numbers.
 DENSE_BLOCKS = 64
+#: Longest lists stay closed while their terms together reach less than this share of the floor: more saves additions, less saves blocks.
+CLOSED = 0.25
 
 # Letters of other scripts that look like Latin ones, and digits and signs typed for letters.
 _LOOKALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
@@ -134,8 +136,9 @@ class BlockMax:
 
     A list is a term's blocks, with the largest impact and the postings of each. ``near`` first adds up
     the largest impacts of the terms' lists for each block, the longest lists (as long as their terms
-    together can't reach the floor) left closed; postings are only opened in blocks whose sum can
-    reach the floor, of all terms. Nothing that reaches it is left out, and its score is exact.
+    together reach only ``CLOSED`` of the floor) left closed and counted at their largest; then, for
+    the blocks that can reach the floor, those of all lists; postings are only opened where that sum
+    reaches it. Nothing that reaches the floor is left out, and its score is exact.
     Examples should come in an order that puts similar ones together.
     """
 
@@ -169,7 +172,7 @@ class BlockMax:
         Row ``r`` has the terms ``term[row == r]``; ``row`` is sorted.
         """
         out: list[tuple] = []
-        step = max(1, 2_000_000 // self.blocks)
+        step = max(1, 300_000 // self.blocks)
         for low in range(0, len(floor), step):
             a, b = np.searchsorted(row, [low, low + step])
             if a < b:
@@ -193,7 +196,7 @@ class BlockMax:
         so_far = np.cumsum(reach)
         begin = np.searchsorted(row, row)
         so_far -= np.where(begin > 0, so_far[begin - 1], 0.0)
-        opened = (so_far >= floor[row] - 1e-9) & (long > 0)
+        opened = (so_far >= CLOSED * floor[row] - 1e-9) & (long > 0)
         closed = np.bincount(row, np.where(opened, 0.0, reach), len(floor))
         lists = _spans(self.at[term[opened]], long[opened])
         r = np.repeat(row[opened], long[opened])
